@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup
+from quire.llm import bpe, chat, exact_dedup
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {
+        "op1_chat_format": chat.op1_chat_format,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_chat_format": chat.ORACLE,
+        "op7_exact_dedup": exact_dedup.ORACLE,
+    }
