@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, exact_dedup
+from quire.llm import bpe, chat, exact_dedup, near_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
     }
 
 
