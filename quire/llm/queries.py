@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, exact_dedup, near_dedup
+from quire.llm import bpe, chat, exact_dedup, near_dedup, topk
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op5_topk_search": topk.op5_topk_search,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_chat_format": chat.ORACLE,
+        "op5_topk_search": topk.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
