@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, exact_dedup, near_dedup, pii, topk
+from quire.llm import bpe, chat, exact_dedup, near_dedup, pii, secrets, topk
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_pii": pii.op2_pii,
+        "op4_secrets": secrets.op4_secrets,
         "op5_topk_search": topk.op5_topk_search,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
