@@ -75,9 +75,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sequence(text: str, words: int = WORDS) -> np.ndarray:
-    """The 64-bit hash of each run of ``words`` words in order; fewer words are one run."""
-    data = np.frombuffer(b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split()), np.uint8)
+def shingle_sequence(text: str, words: int = WORDS, table: bytes = _LOWER) -> np.ndarray:
+    """The 64-bit hash of each run of ``words`` words in order; fewer words are one run.  ``table`` says what separates words."""
+    data = np.frombuffer(b" ".join(text.encode("utf-8", "surrogatepass").translate(table).split()), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
     up, down = _POWERS.get(len(data) + 1)

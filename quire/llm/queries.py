@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, exact_dedup, near_dedup, pii, secrets, topk
+from quire.llm import bpe, chat, exact_dedup, license_scan, near_dedup, pii, secrets, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
