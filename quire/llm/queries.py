@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, exact_dedup, license_scan, near_dedup, pii, secrets, topk
+from quire.llm import bpe, chat, exact_dedup, language_id, license_scan, near_dedup, pii, secrets, topk
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op5_topk_search": topk.op5_topk_search,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_language_id": language_id.op8_language_id,
         "op9_minhash_dedup": near_dedup.op9_minhash_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
+        "language_id_pages": language_id.language_id_pages,
     }
 
 
