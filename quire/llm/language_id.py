@@ -12,7 +12,7 @@ Defined results
   * null texts and texts without a letter have no language: language null, posterior 0, rejected;
   * a missing host or declaration adds no evidence; ``REJECT_BELOW`` rejects rows that no language explains better;
   * equal posteriors go to the language first in order of name; rows are judged one by one, repeated rows alike;
-  * an empty table gives an empty result; a table without labelled rows cannot be fitted: an error;
+  * an empty table gives an empty result; the text model cannot be fitted on rows without labels: an error;
   * :func:`keep` passes all columns through; helper columns have names that start with two underscores.
 """
 
@@ -89,7 +89,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, id: str = "doc_id", text:
     texts = counts[counts["bucket"] < 0].set_index("lang")["n"]
     languages = sorted(sorted(texts[texts >= min(LEAST_ROWS, texts.max())].index, key=lambda x: (-texts[x], x))[:MOST_LANGUAGES]) if len(texts) else []
     if not languages:
-        raise ValueError("no labelled rows to fit the text model on")
+        if not labelled.isEmpty():
+            raise ValueError("no labelled rows to fit the text model on")
+        return Model([], np.zeros((BUCKETS, 0), np.float32))
     table = np.zeros((BUCKETS, len(languages)))
     for i, lang in enumerate(languages):
         own = counts[(counts["lang"] == lang) & (counts["bucket"] >= 0)]
@@ -174,6 +176,8 @@ def fuse(rows: DataFrame, prior_table: DataFrame, declared_like: Column, languag
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` has text, host, declared and columns to keep; returns these but the text, with language, posterior, rejected."""
+    if not model.languages:
+        return rows.drop("text").withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rejected": F.lit(True)})
     seen = rows.withColumn("evidence", evidence_column(rows.sparkSession, model, F.col("text"))).drop("text")
     seen = materialise(seen, "evidence")
     return fuse(seen, priors(seen, len(model.languages)), trust(seen, model.languages), model.languages).drop("evidence")
@@ -181,6 +185,8 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, host: str = "source", declared: str = "lang", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns.  Texts are read twice instead of being stored."""
+    if not model.languages:
+        return docs.where(F.lit(False))
     names = {"host": F.col(host), "declared": F.lower(F.col(declared))}
     column = evidence_column(docs.sparkSession, model, F.col(text))
     seen = materialise(docs.select(*(c.alias(k) for k, c in names.items()), column.alias("evidence")), "evidence")
