@@ -30,3 +30,8 @@ def age_at(birth: Column, day: Column) -> Column:
 def in_recess(day: Column) -> Column:
     """20 December to 20 January."""
     return ((F.month(day) == 12) & (F.dayofmonth(day) >= 20)) | ((F.month(day) == 1) & (F.dayofmonth(day) <= 20))
+
+
+def seconds_of(ts: Column) -> Column:
+    """Whole seconds since 1970 on the clock that a timestamp shows, whatever the session's zone."""
+    return F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
