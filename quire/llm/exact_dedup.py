@@ -94,13 +94,15 @@ def _pieces(text: Column, size: int) -> Column:
 
 def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """doc_id, text_sha256, h1, h2, n_bytes: a row for each row of ``docs``."""
-    rows = docs.select("doc_id", normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    # Sizes are asked of the raw text, so that no filter normalises it once more.
+    size = F.coalesce(F.length("text"), F.lit(0))
+    described = lambda rows: rows.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
     out = "h1 long, h2 long, n_bytes long, s1 long, s2 long"
-    small = rows.where(F.length("norm") <= huge).select(F.col("doc_id").cast("long"), "text_sha256", "norm")
+    small = described(docs.where(size <= huge)).select("doc_id", "text_sha256", "norm")
     whole = small.mapInArrow(_hash_batches, f"doc_id long, text_sha256 string, {out}").select("doc_id", "text_sha256", "h1", "h2", "n_bytes")
     # The row number only tells rows apart that may agree in every column; file scans give it alike on each attempt.
-    large = rows.where(F.length("norm") > huge).withColumn("row", F.monotonically_increasing_id())
-    parts = large.select("row", F.col("doc_id").cast("long"), "text_sha256", F.explode(_pieces(F.col("norm"), huge // 4 + 1)).alias("x"))
+    large = described(docs.where(size > huge)).withColumn("row", F.monotonically_increasing_id())
+    parts = large.select("row", "doc_id", "text_sha256", F.explode_outer(_pieces(F.col("norm"), huge // 4 + 1)).alias("x"))
     parts = parts.select("row", "doc_id", "text_sha256", F.col("x.no").alias("no"), F.col("x.piece").alias("norm")).repartition("row", "no")
     hashed = parts.mapInArrow(_hash_batches, f"row long, doc_id long, text_sha256 string, no int, {out}")
     folded = hashed.groupBy("row", "doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("no", "h1", "h2", "n_bytes", "s1", "s2"))).alias("parts"))
@@ -131,9 +133,11 @@ def differing(docs: DataFrame, prints: DataFrame, piece: int = PIECE, members_pe
     members = members.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), *PRINT, leads.alias("leads"), salt.alias("salt"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
     # Repeated rows of one id and text need one comparison: the join on both keeps them apart from other texts of that id.
-    rows = texts.join(members, (F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", F.explode("salt").alias("salt"), _pieces(F.col("norm"), piece).alias("pieces"))
-    rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", "salt", F.explode("pieces").alias("x")).select("*", "x.no", "x.piece").drop("x")
+    # Null-safe on both, or the planner would hash every text once more to find that its hash is not null.
+    rows = texts.join(members, F.col("text_sha256").eqNullSafe(F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    # Neither array is ever empty; an inner explode would have the planner ask for that before the join, text by text.
+    rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", F.explode_outer("salt").alias("salt"), _pieces(F.col("norm"), piece).alias("pieces"))
+    rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", "salt", F.explode_outer("pieces").alias("x")).select("*", "x.no", "x.piece").drop("x")
     keys = [*PRINT, "salt", "no"]
     lead = rows.where("leads").select(*keys, F.col("piece").alias("lead_piece"))
     others = rows.where("NOT leads").select("doc_id", "text_sha256", *keys, "piece")
@@ -158,7 +162,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated equal rows with one id, one stays."""
     stays = assign(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     rows = docs.withColumn("__text_sha", F.sha2(normalised(), 256))
-    rows = rows.join(stays, (F.col("__text_sha") == F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    rows = rows.join(stays, F.col("__text_sha").eqNullSafe(F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     one = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__text_sha"])
     return one.unionByName(rows.where("doc_id IS NULL")).drop("__text_sha")
 
