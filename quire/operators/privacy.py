@@ -27,7 +27,7 @@ SHIELDED = [r"[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}", r"Num\.\s
 _ANY = "|".join([f"(?P<S{i}>{p})" for i, p in enumerate(SHIELDED)] + [f"(?P<{k}>{p})" for k, p in IDENTIFIERS.items()])
 
 # Roles that follow a name on a cover, and words that no person's name holds.
-ROLES = r"R[ÉE]US?|AUTORA?|ADVOGAD[OA]|V[ÍI]TIMA|TESTEMUNHA|INVESTIGAD[OA]|APELANTE|APELAD[OA]|RECORRENTE|RECORRID[OA]|PACIENTE|IMPETRANTE|REQUERENTE|REQUERID[OA]"
+ROLES = r"R[ÉE]U?S?|AUTORA?|ADVOGAD[OA]|V[ÍI]TIMA|TESTEMUNHA|INVESTIGAD[OA]|APELANTE|APELAD[OA]|RECORRENTE|RECORRID[OA]|PACIENTE|IMPETRANTE|REQUERENTE|REQUERID[OA]"
 INSTITUTION_WORDS = {"TRIBUNAL", "JUSTICA", "MINISTERIO", "PUBLICO", "PUBLICA", "ESTADO", "ESTADUAL", "FEDERAL", "VARA", "COMARCA", "PODER", "JUDICIARIO", "SECRETARIA", "PROMOTORIA", "DEFENSORIA", "POLICIA", "CIVIL", "MILITAR", "DELEGACIA", "INSTITUTO", "NACIONAL", "GOVERNO", "MUNICIPIO", "UNIAO"}
 PARTICLES = {"DE", "DA", "DO", "DOS", "DAS", "E"}
 CAPITALS = "A-ZÁÉÍÓÚÂÊÔÃÕÇÜ"

@@ -112,7 +112,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 def volume_urls(spark: SparkSession, path: str) -> DataFrame:
     """url, volume, part of static lists of addresses."""
     n = lambda p: F.regexp_extract("value", p, 1).try_cast("int")
-    return spark.read.text(path).where("value LIKE 'http%'").select(F.trim("value").alias("url"), n(r"(\d+)(?:_\d+)?\.\w+$|(\d+)/?$").alias("volume"), n(r"_(\d+)\.\w+$").alias("part"))
+    return spark.read.text(path).where("value LIKE 'http%'").select(F.trim("value").alias("url"), n(r"(\d+)(?:_\d+)?\.\w+$").alias("volume"), n(r"\d_(\d+)\.\w+$").alias("part"))
 
 
 _TERM = "struct<term:string,note:string,relations:array<struct<kind:string,target:string>>>"
