@@ -28,7 +28,9 @@ FOLD_SQL = f"lower(translate({{}}, '{FOLD_FROM}', '{FOLD_TO}'))"
 
 def fold_same_length(text: Column) -> Column:
     """Lower case without marks, letter for letter: offsets in the result are offsets in the original.  For anything that slices."""
-    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
+    # Texts of one byte a letter have no marks to take off; they are the greater part of most collections.
+    plain = F.octet_length(text) == F.length(text)
+    return F.lower(F.when(plain, text).otherwise(F.translate(text, FOLD_FROM, FOLD_TO)))
 
 
 def squash(text: Column) -> Column:
@@ -75,8 +77,13 @@ def tokens(text: Column) -> Column:
 
 
 def duplicate_key(text: Column, chars: int = 200) -> Column:
-    """The first letters and digits, folded: equal for copies whose margins differ."""
-    return F.substring(F.regexp_replace(fold_same_length(text), NOT_ALNUM, ""), 1, chars)
+    """The first letters and digits, folded: equal for copies whose margins differ.
+
+    Most texts show them within a few times as many characters; only those that do not are read whole.
+    """
+    key = lambda t: F.substring(F.regexp_replace(fold_same_length(t), NOT_ALNUM, ""), 1, chars)
+    head = key(F.left(text, F.lit(4 * chars)))
+    return F.when(F.length(head) >= chars, head).otherwise(key(text))
 
 
 def content_hash(text: Column, digits: int = 16) -> Column:

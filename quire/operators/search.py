@@ -33,10 +33,20 @@ def parse_query(query: str) -> list[list[str]]:
     return [p for p in (re.findall(r"[^\W_]+", fold(x)) for x in phrases) if p]
 
 
-def phrase_count(tokens: Column, phrase: list[str]) -> Column:
-    """How often the tokens hold the phrase."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
+def token_string(tokens: Column) -> Column:
+    """The tokens with a space of its own on either side of each, so that counting strings counts tokens."""
+    return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+
+
+def phrase_count(tokens: Column, joined: Column, phrase: list[str]) -> Column:
+    """How often the tokens hold the phrase; ``joined`` is their :func:`token_string`.
+
+    Only a phrase that can overlap itself needs a look at every place.
+    """
+    if not any(phrase[:n] == phrase[-n:] for n in range(1, len(phrase))):
+        wanted = " " + "  ".join(phrase) + " "
+        found = F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(wanted), F.lit("")))
+        return F.coalesce((found / len(wanted.encode())).cast("int"), F.lit(0))
     last = F.size(tokens) - len(phrase) + 1
     wanted = F.array(*map(F.lit, phrase))
     places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
@@ -51,7 +61,12 @@ def bm25(docs: DataFrame, id: str, text: str, query: str, k: int | None = 10, an
     phrases = parse_query(query)
     if not phrases:
         return docs.select(id, F.lit(0.0).alias("score"), F.lit(0).alias("matched")).where(F.lit(False))
-    counted = docs.select(id, tx.tokens(F.col(text)).alias("__t")).select(id, F.size("__t").alias("__len"), *(phrase_count(F.col("__t"), p).alias(f"__f{i}") for i, p in enumerate(phrases)))
+    # An array of one binds the tokens to a name: filters on the counts stay above it and never tokenize a text again.
+    tokens = F.array(tx.tokens(F.coalesce(F.col(text), F.lit(""))))
+    both = F.transform(tokens, lambda t: F.named_struct(F.lit("t"), t, F.lit("s"), token_string(t)))
+    counts = lambda x: [c for i, p in enumerate(phrases) for c in (F.lit(f"__f{i}"), phrase_count(x["t"], x["s"], p))]
+    bound = F.transform(both, lambda x: F.named_struct(F.lit("__len"), F.size(x["t"]), *counts(x)))
+    counted = docs.select(id, F.explode_outer(bound).alias("__x")).select(id, "__x.*")
     fs = [F.col(f"__f{i}") for i in range(len(phrases))]
     every = F.least(*fs, fs[0]) > 0
     stats = counted.agg(F.count("*").alias("__N"), F.avg("__len").alias("__avg"), F.count_if(every).alias("__all"), *(F.count_if(f > 0).alias(f"__n{i}") for i, f in enumerate(fs)))
