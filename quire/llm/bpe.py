@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from quire.llm.common import read
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker keeps encoded, in each of two generations.
 CACHE_WORDS = 200_000
-#: Characters that are encoded at once.
+#: Bytes of text that are encoded at once.
 GROUP_CHARS = 1_000_000
 END = "</w>"
 NEVER = np.int64(1) << 40
@@ -260,14 +261,14 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def groups(texts: list[str | None], chars: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about so many characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
+def groups(texts: pa.Array, size: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about so many bytes."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held >= size:
             yield start, i + 1
-            start, size = i + 1, 0
+            start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
@@ -282,9 +283,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = batch.column(len(rest)).to_pylist()
+            texts = batch.column(len(rest))
             for a, b in groups(texts):
-                out = bpe.encode(texts[a:b])
+                out = bpe.encode(texts.slice(a, b - a).to_pylist())
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(rest))] + [pa.array(out, pa.binary())]
                 if decoded:
                     columns.append(pa.array([bpe.decode(x) for x in out], pa.string()))

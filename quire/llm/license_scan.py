@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import read, text_or_empty
+from quire.llm.common import read, slices, text_or_empty
 from quire.llm.near_dedup import mix, shingle_sequence
 
 WORDS = 5
@@ -136,7 +136,7 @@ def find(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _SCANNERS.setdefault(repr(sorted(templates.items())), Scanner(templates))
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[dict(zip(("license", "containment", "start_word", "end_word"), x)) for x in scanner.scan(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "matches"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, read, text_or_empty
+from quire.llm.common import materialise, read, slices, text_or_empty
 from quire.llm.components import connected_components
 
 WORDS = 5
@@ -111,7 +111,7 @@ def half_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, f1, f2, keys, sigs = [], [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py())
@@ -201,7 +201,7 @@ def _by_cell(work: Callable) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())], names=["a", "b"])
 
         cell, rows = None, []
-        for batch in batches:
+        for batch in slices(batches):
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns):
                 if row[0] != cell:
@@ -253,7 +253,7 @@ def candidate_edges(classes: DataFrame, tile: int = TABLE_TILE) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t.as_py()) for t in batch.column(3)]
         columns = [batch.column(0), batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "cluster", "tiles", "n_shingles", "shingles"])
