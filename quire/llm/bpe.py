@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import read
+from quire.llm.common import hold, read
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker keeps encoded, in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are encoded at once.
 GROUP_CHARS = 1_000_000
 END = "</w>"
+#: Symbols of a word up to which it is merged without a heap.
+FEW = 48
 NEVER = np.int64(1) << 40
 
 # The contractions, and white space as the tokenizer's own patterns take it.
@@ -162,6 +164,23 @@ class Bpe:
         """Merges in order of rank, at equal ranks from the left."""
         self.merged_exactly += 1
         ids: list[int] = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
+        return self._merge_few(ids) if len(ids) <= FEW else self._merge_many(ids)
+
+    def _merge_few(self, ids: list[int]) -> list[int]:
+        """Looks for the lowest rank again after each merge: quicker than a heap while there are few symbols."""
+        get, none = self.merge.get, (1 << 40, -1)
+        found = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while found and (least := min(found))[1] >= 0:
+            i = found.index(least)
+            ids[i : i + 2] = [least[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_many(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*m, i) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
@@ -281,6 +300,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     rest = [c for c in docs.columns if c not in (text, ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", _LOADED.clear)
         bpe = load(path)
         for batch in batches:
             texts = batch.column(len(rest))

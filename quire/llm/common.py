@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,23 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Called where worker code begins: what code of other owners keeps in this process is let go.
+
+    Workers outlive their stage and are used again by the next one, so tables and caches of earlier operators would add up.
+    """
+    others = [o for o in _HELD if o != owner]
+    for other in others:
+        _HELD.pop(other)()
+    _HELD[owner] = release
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of so many rows, so that a worker holds few of them as Python objects."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, materialise, read, text_or_empty
+from quire.llm.common import SPACE, hold, materialise, read, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 911382323)
@@ -62,6 +62,7 @@ def fingerprint(data: np.ndarray) -> tuple[int, int]:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds h1, h2, the bytes, and what h1 and h2 of a left neighbour are multiplied by."""
+    hold("exact_dedup", _POWERS.clear)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("norm")).cast(pa.large_string())
         n = len(texts)

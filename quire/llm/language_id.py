@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, read
+from quire.llm.common import hold, materialise, read
 
 #: Bound of the labelled sample that the text model is fitted on, and the fewest rows of it that make a language.
 TRAIN_ROWS, LEAST_ROWS = 4000, 8
@@ -106,8 +106,9 @@ def evidence_column(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
+        hold("language_id", lambda: None)
         m = Model(*shared.value)
-        return pa.array([m.evidence(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([m.evidence(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return evidence(text)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import read, slices, text_or_empty
+from quire.llm.common import hold, read, slices, text_or_empty
 from quire.llm.near_dedup import mix, shingle_sequence
 
 WORDS = 5
@@ -134,6 +134,7 @@ def find(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("license_scan", _SCANNERS.clear)
         scanner = _SCANNERS.setdefault(repr(sorted(templates.items())), Scanner(templates))
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
         for batch in slices(batches):

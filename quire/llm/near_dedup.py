@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, read, slices, text_or_empty
+from quire.llm.common import hold, materialise, read, slices, text_or_empty
 from quire.llm.components import connected_components
 
 WORDS = 5
@@ -55,6 +55,9 @@ class _Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, grown as texts ask for."""
 
     def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,7 @@ def half_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("near_dedup", _POWERS.reset)
     for batch in slices(batches):
         n, f1, f2, keys, sigs = [], [], [], [], []
         for text in batch.column(1):
@@ -200,6 +204,7 @@ def _by_cell(work: Callable) -> Callable:
             stars = list(work(rows)) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())], names=["a", "b"])
 
+        hold("near_dedup", _POWERS.reset)
         cell, rows = None, []
         for batch in slices(batches):
             columns = [c.to_pylist() for c in batch.columns]
@@ -253,6 +258,7 @@ def candidate_edges(classes: DataFrame, tile: int = TABLE_TILE) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("near_dedup", _POWERS.reset)
     for batch in slices(batches):
         sets = [shingle_set(t.as_py()) for t in batch.column(3)]
         columns = [batch.column(0), batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
