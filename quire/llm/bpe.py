@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import hold, read
+from quire.llm.common import hold, read, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker keeps encoded, in each of two generations.
@@ -297,6 +297,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     ``path`` is the tokenizer's file, there on every machine as part of an installed package.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

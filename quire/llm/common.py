@@ -45,6 +45,20 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: ten thousand documents in one take off-heap memory that no task accounts for.
+
+    The setting is read when a plan is made, which may be after an operator returns, so it stays with the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 

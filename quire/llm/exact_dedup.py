@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, hold, materialise, read, text_or_empty
+from quire.llm.common import SPACE, hold, materialise, read, small_batches, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 911382323)
@@ -95,6 +95,7 @@ def _pieces(text: Column, size: int) -> Column:
 
 def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """doc_id, text_sha256, h1, h2, n_bytes: a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     # Sizes are asked of the raw text, so that no filter normalises it once more.
     size = F.coalesce(F.length("text"), F.lit(0))
     described = lambda rows: rows.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))

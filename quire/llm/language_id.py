@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hold, materialise, read
+from quire.llm.common import hold, materialise, read, small_batches
 
 #: Bound of the labelled sample that the text model is fitted on, and the fewest rows of it that make a language.
 TRAIN_ROWS, LEAST_ROWS = 4000, 8
@@ -102,6 +102,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, id: str = "doc_id", text:
 
 def evidence_column(spark, model: Model, text: Column) -> Column:
     """The text's tempered log-likelihoods in the order of the model's languages; null without a letter."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.table))
 
     @F.arrow_udf("array<double>")

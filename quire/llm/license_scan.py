@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hold, read, slices, text_or_empty
+from quire.llm.common import hold, read, slices, small_batches, text_or_empty
 from quire.llm.near_dedup import mix, shingle_sequence
 
 WORDS = 5
@@ -131,6 +131,7 @@ _SCANNERS: dict[str, Scanner] = {}
 
 def find(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, matches (license, containment, start_word, end_word): a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hold, materialise, read, slices, text_or_empty
+from quire.llm.common import hold, materialise, read, slices, small_batches, text_or_empty
 from quire.llm.components import connected_components
 
 WORDS = 5
@@ -279,6 +279,7 @@ def verified_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, til
 
 def assign(docs: DataFrame, table_tile: int = TABLE_TILE, cluster_tile: int = CLUSTER_TILE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = materialise(describe(docs), "shingled")
     same = ["f1", "f2", "n_shingles"]
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hold, materialise, read, slices, text_or_empty
+from quire.llm.common import hold, materialise, read, slices, small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -173,6 +173,7 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base, added: arrays of (place, start, end), by kind and then start; a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = materialise(scan(docs), "scanned")
     found = rows.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     new = discover(found).withColumnsRenamed({"value": "v", "kind": "k"})
