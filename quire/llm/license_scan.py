@@ -11,7 +11,8 @@ Defined results
   * null and empty texts match nothing; texts are read whole; words are runs of letters, digits and non-ASCII bytes, lower case;
   * the templates' whole text is configuration and goes to every task; templates of fewer than five words are one shingle;
   * rows with null or repeated ``doc_id`` are scanned row by row; an empty table gives an empty result;
-  * overlapping matches of one template are one span; templates that match alike are all returned, in order of name;
+  * overlapping matches of one licence are one span; of overlapping licences the one that is held best is returned, of equals
+    all, in order of name;
   * further columns are ignored.
 """
 
@@ -105,6 +106,12 @@ class Scanner:
         return (share, a + int(inside[0]), a + int(inside[-1])) if share >= self.containment else None
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """The matches without those that a better one of another licence overlaps: licences that differ in a word or a number
+        would else be found together."""
+        found = self.matches(text)
+        return [x for x in found if not any(y[0] != x[0] and y[1] > x[1] and y[2] < x[3] and x[2] < y[3] for y in found)]
+
+    def matches(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, containment, first word, word after the last) by licence and place."""
         h = sequence(text)
         if not len(h) or not np.isin(h, self.every).any():

@@ -36,7 +36,8 @@ def test_same_as_comparing_every_window(spark):
     rows += [(1, None), (None, ""), (1, "released UNDER the\nMIT license"), (2, "x" * 50_000)]
     got = ls.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     scanner = ls.Scanner(ls.TEMPLATES)
-    assert sorted((str(r.doc_id), sorted({m.license for m in r.matches})) for r in got) == sorted((str(i), sorted(brute(scanner, t))) for i, t in rows)
+    assert all({m[0] for m in scanner.matches(t or "")} == brute(scanner, t) for _, t in rows)
+    assert sorted((str(r.doc_id), [tuple(m) for m in r.matches]) for r in got) == sorted((str(i), scanner.scan(t or "")) for i, t in rows)
     assert sum(bool(r.matches) for r in got) > 100
     assert ls.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -44,6 +45,9 @@ def test_same_as_comparing_every_window(spark):
 def test_spans_and_bands():
     scanner = ls.Scanner(ls.TEMPLATES)
     assert scanner.scan("a b c Licensed under the Apache License, Version 2.0. d e f") == [("Apache-2.0", 1.0, 3, 11)]
+    both = scanner.matches("x This work is licensed under the GNU General Public License, version 3. y")
+    assert [m[0] for m in both] == ["GPL-2.0", "GPL-3.0"]
+    assert [m[:2] for m in scanner.scan("x This work is licensed under the GNU General Public License, version 3. y")] == [("GPL-3.0", 1.0)]
     assert scanner.scan("nothing of this kind here at all") == []
     least = min(np.ceil(0.75 * len(s)) / (1.5 * c + len(s) - np.ceil(0.75 * len(s))) for c, m in scanner.classes.items() for s in [scanner.sets[i][1] for i in m])
     assert (1 - least) ** scanner.bands <= ls.MISS
