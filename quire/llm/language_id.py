@@ -43,7 +43,7 @@ def grams(text: str) -> np.ndarray:
     """A bucket for each byte trigram of the text in lower case, all white space and ASCII signs taken as one space."""
     data = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split()) + b" "
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(b) < 4:
+    if len(b) < 3:
         return np.zeros(0, np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     return (code * np.uint32(2654435761)) >> np.uint32(16)

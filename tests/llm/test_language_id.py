@@ -52,6 +52,7 @@ def test_priors_decide_where_texts_cannot(spark, docs, model):
 
 
 def test_edges(spark, model):
+    assert model.evidence("A.") is not None  # one letter is evidence, if not much
     rows = [(None, "a", "en"), ("", None, None), ("123 !?", "a", "fr"), ("the and that of the with and this", None, "xx"), ("the and that of the with and this", "a", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, host string, declared string")
     got = {r.id: r for r in li.identify(df, model).collect()}
