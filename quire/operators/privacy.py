@@ -24,7 +24,8 @@ IDENTIFIERS = {
 }
 #: Numbers that look like identifiers and are none; they are kept aside while the others are replaced.
 SHIELDED = [r"[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}", r"Num\.\s*[0-9]+", r"[0-9]{20,}"]
-_ANY = "|".join([f"(?P<S{i}>{p})" for i, p in enumerate(SHIELDED)] + [f"(?P<{k}>{p})" for k, p in IDENTIFIERS.items()])
+PATTERNS = IDENTIFIERS
+_ANY = "|".join([f"(?P<S{i}>{p})" for i, p in enumerate(SHIELDED)] + [f"(?P<{k}>{p})" for k, p in PATTERNS.items()])
 
 # Roles that follow a name on a cover, and words that no person's name holds.
 ROLES = r"R[ÉE]U?S?|AUTORA?|ADVOGAD[OA]|V[ÍI]TIMA|TESTEMUNHA|INVESTIGAD[OA]|APELANTE|APELAD[OA]|RECORRENTE|RECORRID[OA]|PACIENTE|IMPETRANTE|REQUERENTE|REQUERID[OA]"

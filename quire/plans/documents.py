@@ -160,7 +160,7 @@ _IDENTIFIERS = " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS kind, unnest
 
 @query(f"SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values, count(DISTINCT doc_id) AS documents FROM ({_IDENTIFIERS}) GROUP BY kind")
 def identifier_census(t: Tables) -> DataFrame:
-    """V5: identifiers by kind."""
+    """V5: identifiers of three kinds, each looked for on its own; :func:`identifier_census_all` has all kinds."""
     values = privacy.identifier_values(t.documents, "doc_id", "text", _KINDS)
     return values.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"), F.countDistinct("doc_id").alias("documents"))
 
@@ -169,17 +169,33 @@ def identifier_census(t: Tables) -> DataFrame:
 WITH v AS ({_IDENTIFIERS}), f AS (SELECT source, kind, value, min((doc_id, pos)) AS f FROM v GROUP BY ALL)
 SELECT source, kind, value, kind || '_' || row_number() OVER (PARTITION BY source, kind ORDER BY f, value) AS token FROM f""")
 def pseudonymize_stable(t: Tables) -> DataFrame:
-    """Tokens numbered by first occurrence within a source."""
+    """Tokens of three kinds; :func:`pseudonymize_stable_all` has all kinds, as the round trip uses them."""
     values = privacy.identifier_values(t.documents, "doc_id", "text", _KINDS).join(t.documents.select(F.col("doc_id").alias("d"), "source"), F.col("doc_id") == F.col("d"))
     return privacy.assign_tokens(values, ["source"], ["doc_id", "pos"])
 
 
+def _identifiers(docs: DataFrame) -> DataFrame:
+    """doc_id, source, pos, kind, value: all kinds, in their order of precedence and outside shielded numbers."""
+    return docs.select("doc_id", "source", F.posexplode(privacy.identifiers(F.col("text"))).alias("pos", "x")).select("doc_id", "source", "pos", "x.*")
+
+
+@query()
+def identifier_census_all(t: Tables) -> DataFrame:
+    """V5: identifiers by kind, over all kinds."""
+    return _identifiers(t.documents).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query()
+def pseudonymize_stable_all(t: Tables) -> DataFrame:
+    """Tokens of all kinds, numbered by first occurrence within a source."""
+    return privacy.assign_tokens(_identifiers(t.documents), ["source"], ["doc_id", "pos"])
+
+
 @query()
 def pseudonymize_roundtrip(t: Tables) -> DataFrame:
     """V5 V6: texts rewritten with tokens and turned back."""
     docs = t.documents.select("doc_id", "source", "text")
-    found = docs.select("doc_id", "source", F.posexplode(privacy.identifiers(F.col("text"))).alias("pos", "x")).select("doc_id", "source", "pos", "x.*")
-    tokens = privacy.assign_tokens(found, ["source"], ["doc_id", "pos"])
+    tokens = privacy.assign_tokens(_identifiers(docs), ["source"], ["doc_id", "pos"])
     hidden = privacy.pseudonymize(docs, tokens, ["source"], "doc_id", "text")
     back = privacy.restore(hidden, tokens, ["source"], "doc_id", "text").select(F.col("doc_id").alias("b"), F.col("text").alias("restored"))
     rows = docs.join(hidden.select(F.col("doc_id").alias("h"), F.col("text").alias("hidden")), F.col("doc_id") == F.col("h")).join(back, F.col("doc_id") == F.col("b"))

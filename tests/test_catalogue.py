@@ -53,6 +53,31 @@ def test_chunks_reassemble(spark, sf_dir):
     assert rows and all(r[0] for r in rows)
 
 
+def test_census_and_tokens_of_all_kinds(spark, sf_dir, duck):
+    """Brute force: documents one by one, each kind in turn at each place, shields first."""
+    import re
+    from collections import defaultdict
+
+    from quire.operators import privacy
+
+    patterns = [(None, re.compile(p)) for p in privacy.SHIELDED] + [(k, re.compile(p)) for k, p in privacy.PATTERNS.items()]
+    values, seen, tokens = defaultdict(list), defaultdict(list), {}
+    for doc, source, text in duck.sql("SELECT doc_id, source, text FROM documents ORDER BY doc_id").fetchall():
+        at = 0
+        while at < len(text):
+            kind, m = next(((k, m) for k, p in patterns if (m := p.match(text, at))), (None, None))
+            if kind:
+                values[kind].append((m[0], doc))
+                if (source, kind, m[0]) not in tokens:
+                    seen[source, kind].append(m[0])
+                    tokens[source, kind, m[0]] = f"{kind}_{len(seen[source, kind])}"
+            at = m.end() if m else at + 1
+    census = {(k, len(v), len({x for x, _ in v}), len({d for _, d in v})) for k, v in values.items()}
+    assert {"SERIAL", "EMAIL", "IP", "PHONE"} <= set(values)
+    assert {(r.kind, r.n, r.distinct_values, r.documents) for r in catalogue.queries()["identifier_census_all"](spark, sf_dir).collect()} == census
+    assert {(r.source, r.kind, r.value): r.token for r in catalogue.queries()["pseudonymize_stable_all"](spark, sf_dir).collect()} == tokens
+
+
 def test_roundtrip_restores(spark, sf_dir):
     rows = catalogue.queries()["pseudonymize_roundtrip"](spark, sf_dir).collect()
     assert all(r.restored for r in rows) and any(r.changed for r in rows)
