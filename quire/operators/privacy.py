@@ -13,19 +13,34 @@ from quire.functions import text as tx
 
 # Kinds of identifier in the order in which they are replaced, and what they look like.
 IDENTIFIERS = {
-    "CPF": r"[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}",
-    "CNPJ": r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}",
+    "CPF": r"\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b",
+    "CNPJ": r"\b[0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2}\b",
     "EMAIL": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "IP": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "PHONE": r"\+[0-9][0-9 ().-]{7,17}[0-9]",
-    "PLATE": r"[A-Z]{3}-[0-9][A-Z0-9][0-9]{2}",
+    "TEL": r"(?<![0-9])(?:\(?[0-9]{2}\)?\s?)?(?:9\s?)?[0-9]{4}[-\s][0-9]{4}(?![0-9])",
+    "PLATE": r"\b[A-Z]{3}-?[0-9][A-Z0-9][0-9]{2}\b",
     "POSTCODE": r"[0-9]{5}-[0-9]{3}",
     "SERIAL": r"[0-9]{15,16}",
+    "RG": r"(?i:(?<=\bRG\s)\s*n?[ºo°.]?\s*:?\s*[0-9]{1,2}\.?[0-9]{3}\.?[0-9]{3}-?[0-9X]?\b|(?:(?<=\bRG n[ºo°] )|(?<=\bRG n[ºo°]: )|(?<=\bRG: )|(?<=\bRG ))[0-9]{5,14}\b)",
 }
 #: Numbers that look like identifiers and are none; they are kept aside while the others are replaced.
 SHIELDED = [r"[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}", r"Num\.\s*[0-9]+", r"[0-9]{20,}"]
-PATTERNS = IDENTIFIERS
-_ANY = "|".join([f"(?P<S{i}>{p})" for i, p in enumerate(SHIELDED)] + [f"(?P<{k}>{p})" for k, p in PATTERNS.items()])
+#: As the finder takes them: letters with marks belong to an address too.
+PATTERNS = IDENTIFIERS | {"EMAIL": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"}
+_RG = re.compile(r"(?i)\bRG[\s:]")
+
+
+def _any(left_out: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join([f"(?P<S{i}>{p})" for i, p in enumerate(SHIELDED)] + [f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k not in left_out]))
+
+
+_ANY = {x: _any(x) for x in [(), ("EMAIL",), ("RG",), ("EMAIL", "RG")]}
+
+
+def _matches(text: str):
+    """Matches of all kinds; the two slow patterns are left out where the text lacks what each of their matches holds."""
+    return _ANY[("EMAIL",) * ("@" not in text) + ("RG",) * (_RG.search(text) is None)]
 
 # Roles that follow a name on a cover, and words that no person's name holds.
 ROLES = r"R[ÉE]U?S?|AUTORA?|ADVOGAD[OA]|V[ÍI]TIMA|TESTEMUNHA|INVESTIGAD[OA]|APELANTE|APELAD[OA]|RECORRENTE|RECORRID[OA]|PACIENTE|IMPETRANTE|REQUERENTE|REQUERID[OA]"
@@ -36,11 +51,11 @@ CAPITALS = "A-ZÁÉÍÓÚÂÊÔÃÕÇÜ"
 
 def find_identifiers(text: str) -> list[tuple[str, str]]:
     """(kind, value) in order; at one place the kind listed first, and nothing within a shielded number."""
-    return [(m.lastgroup, m[0]) for m in re.finditer(_ANY, text) if m.lastgroup in IDENTIFIERS]
+    return [(m.lastgroup, m[0]) for m in _matches(text).finditer(text) if m.lastgroup in IDENTIFIERS]
 
 
 def replace_identifiers(text: str, tokens: dict[str, str]) -> str:
-    return re.sub(_ANY, lambda m: tokens.get(m[0], m[0]) if m.lastgroup in IDENTIFIERS else m[0], text)
+    return _matches(text).sub(lambda m: tokens.get(m[0], m[0]) if m.lastgroup in IDENTIFIERS else m[0], text)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))
@@ -122,20 +137,30 @@ def pseudonymize(docs: DataFrame, tokens: DataFrame, case: list[str], id: str, t
     return rows.withColumn(text, _rewrite(F.col(text), F.col("m.value"), F.col("m.token"))).drop("__id", "m")
 
 
+_TOKEN = re.compile("([A-Z]+)(_[0-9]+)")
+
+
 @F.pandas_udf(T.StringType())
 def _restore(text: pd.Series, tokens: pd.Series, values: pd.Series) -> pd.Series:
     def one(t, ks, vs):
         if t is None or ks is None:
             return t
         table = dict(zip(ks, vs))
-        return re.sub(r"\b[A-Z]+_[0-9]+\b", lambda m: table.get(m[0], m[0]), t)
+
+        def back(m):
+            # The longest ending that is a token: what stood before it may have been letters.
+            i = next((i for i in range(len(m[1])) if m[0][i:] in table), None)
+            return m[0] if i is None else m[0][:i] + table[m[0][i:]]
+
+        return _TOKEN.sub(back, t)
 
     return pd.Series([one(*x) for x in zip(text, tokens, values)], dtype=object)
 
 
 def restore(docs: DataFrame, tokens: DataFrame, case: list[str], id: str, text: str) -> DataFrame:
-    """The inverse of :func:`pseudonymize`; whole tokens only, so that ``EMAIL_12`` is never read as ``EMAIL_1``."""
-    own = docs.select(F.col(id).alias("__id"), *case, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z]+_[0-9]+"), F.lit(0)))).alias("token"))
+    """The inverse of :func:`pseudonymize`; whole numbers only, so that ``EMAIL_12`` is never read as ``EMAIL_1``."""
+    endings = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Z]+_[0-9]+"), F.lit(0)), lambda x: F.transform(F.sequence(F.lit(1), F.instr(x, "_") - 1), lambda i: F.substr(x, i)))
+    own = docs.select(F.col(id).alias("__id"), *case, F.explode(F.array_distinct(F.flatten(endings))).alias("token"))
     found = own.join(tokens, [*case, "token"]).groupBy("__id").agg(F.collect_list(F.struct("value", "token")).alias("m"))
     rows = docs.join(found, F.col(id) == F.col("__id"), "left")
     return rows.withColumn(text, _restore(F.col(text), F.col("m.token"), F.col("m.value"))).drop("__id", "m")

@@ -237,6 +237,30 @@ def test_privacy(spark):
     assert named.t == "PESSOA_1 e PESSOA_1; DIAS PESSOA_1"
 
 
+#: Each form that tools/anonimizar.py hides, its kind, and the text around it.
+FORMS = [
+    ("CPF", "123.456.789-01"), ("CPF", "12345678901"), ("CPF", "123456789-01"), ("CPF", "123.456.78901"),
+    ("CNPJ", "12.345.678/0001-95"), ("CNPJ", "12345678000195"), ("CNPJ", "12345678/0001-95"),
+    ("EMAIL", "joão.silva+x@mail.example.br"), ("TEL", "(65) 3333-1234"), ("TEL", "65 3333-1234"), ("TEL", "(65) 9 9333-1234"), ("TEL", "(65)99333-1234"), ("TEL", "3333 1234"), ("TEL", "93333-1234"),
+    ("PLATE", "ABC-1234"), ("PLATE", "ABC1D23"), ("SERIAL", "123456789012345"), ("POSTCODE", "78000-123"), ("PHONE", "+55 65 3333-1234"),
+]
+RG_FORMS = [("RG ", "12.345.678-9"), ("RG ", "1234567"), ("rg ", "1.234.567-X"), ("RG ", "12345"), ("RG: ", "1234567890"), ("RG nº ", "12345"), ("RG nº: ", "1234567890"), ("RG n° ", "1234567890")]
+
+
+def test_each_form_of_the_reference_is_hidden(spark):
+    texts = [(k, v, f"veja {v}, sim") for k, v in FORMS] + [("RG", v, f"com {lead}{v}, sim") for lead, v in RG_FORMS]
+    texts += [("RG", "12.345.678-9", "RG nº 12.345.678-9, sim"), ("TEL", "3333-1234", "FONE3333-1234, sim"), ("SERIAL", "123456789012345", "IMEI123456789012345, sim")]
+    docs = spark.createDataFrame([(i, "c", t) for i, (_, _, t) in enumerate(texts)], "id int, c string, t string")
+    found = docs.select("id", "c", F.posexplode(privacy.identifiers(F.col("t"))).alias("pos", "x")).select("id", "c", "pos", "x.*")
+    tokens = privacy.assign_tokens(found, ["c"], ["id", "pos"])
+    hidden = privacy.pseudonymize(docs, tokens, ["c"], "id", "t")
+    out = dict(rows(hidden, "id", "t"))
+    assert [(k, v) for i, (k, v, _) in enumerate(texts) if v in out[i] or f"{k}_" not in out[i] or any(c.isdigit() for c in out[i].replace(out[i][out[i].index(f"{k}_") :].split(",")[0], ""))] == []
+    assert rows(privacy.restore(hidden, tokens, ["c"], "id", "t"), "id", "t") == rows(docs, "id", "t")
+    kept = "processo 1234567-89.2020.8.10.0001, Num. 12345678901, 123456789012345678901"
+    assert privacy.find_identifiers(kept) == []
+
+
 def test_ledger(spark):
     df = spark.createDataFrame([("a", 1.5), ("a", None), ("b", 2.0)], "m string, c double")
     assert rows(ledger.totals(df, ["m"], {"cost": F.col("c")}), "m", "n", "cost", "level") == [("a", 2, 1.5, "detail"), ("b", 1, 2.0, "detail"), (None, 3, 3.5, "total")]
