@@ -5,14 +5,16 @@ A text's likelihood under each language comes from byte trigrams.  It is combine
 suffix of the address, its registered domain, the host; each level is a grouped count of what the texts alone say, and
 shrinks to the level above by ``KAPPA`` rows.  How far declarations are to be trusted is counted from the same rows.
 
-The text model is fitted on at most ``TRAIN_ROWS`` labelled rows, those whose ids hash lowest; priors, trust and
-everything else cover all rows.
+The text model is fitted on at most ``TRAIN_ROWS`` rows (of different ids) for each label, those whose ids hash lowest, and
+each label is a class; priors, trust and everything else cover all rows.
 
 Defined results
   * null texts and texts without a letter have no language: language null, posterior 0, rejected;
+  * a declared language without a class stands, and is not rejected, where the text is ``UNLIKE`` that of every class: its
+    evidence for each is so many standard deviations below what the class's own trigrams give; else it is evidence only;
   * a missing host or declaration adds no evidence; ``REJECT_BELOW`` rejects rows that no language explains better;
   * equal posteriors go to the language first in order of name; rows are judged one by one, repeated rows alike;
-  * an empty table gives an empty result; the text model cannot be fitted on rows without labels: an error;
+  * a label whose texts have no letter is no class beside others; an empty table gives an empty result; the text model cannot be fitted on rows without labels: an error;
   * :func:`keep` passes all columns through; helper columns have names that start with two underscores.
 """
 
@@ -22,20 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import hold, materialise, read, small_batches
 
-#: Bound of the labelled sample that the text model is fitted on, and the fewest rows of it that make a language.
-TRAIN_ROWS, LEAST_ROWS = 4000, 8
+#: Bound of the ids of each label that the text model is fitted on.
+TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 #: Neighbouring trigrams repeat each other: a text counts as at most so many independent ones.
 MOST_GRAMS = 60
 KAPPA = 20.0
 REJECT_BELOW = 0.5
-MOST_LANGUAGES = 64
+UNLIKE = 3.0
+#: Languages that a task counts before it lets go of their counts.
+_HELD = 32
 _PIECE = 1 << 20
 
 
@@ -56,60 +60,96 @@ _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 class Model:
     languages: list[str]
     table: np.ndarray  # of log-probabilities, a row for each bucket
+    usual: np.ndarray  # mean and standard deviation of a language's own trigrams' log-probability, a column a language
 
-    def evidence(self, text: str | None) -> list[float] | None:
+    def read(self, text: str | None) -> tuple[list[float], float] | None:
+        """The evidence, and by how much the text passes the least that a language's own text has, at the language that fits best."""
         g = grams(text) if text else grams("")
         if not len(g):
             return None
         total = np.zeros(len(self.languages))
         for at in range(0, len(g), _PIECE):
             total += self.table[g[at : at + _PIECE]].sum(0, dtype=np.float64)
-        return (total * (min(len(g), MOST_GRAMS) / len(g))).tolist()
+        n = min(len(g), MOST_GRAMS)
+        total *= n / len(g)
+        least = n * self.usual[0] - UNLIKE * np.sqrt(n) * self.usual[1]
+        return total.tolist(), float((total - least).max())
+
+    def evidence(self, text: str | None) -> list[float] | None:
+        found = self.read(text)
+        return found and found[0]
+
+
+def _cuts(usable: DataFrame, rows: int) -> DataFrame:
+    """lang, cut: the hash up to which a label's ids are taken.  Most rows fall to a share of the hashes that is sure to
+    leave enough, so no task ranks more than a bounded number of a label's ids."""
+    share = F.col("h") / float(1 << 64) + 0.5
+    distinct = usable.groupBy(F.col("lang").alias("l")).agg(F.approx_count_distinct("h").alias("n"))
+    few = usable.join(F.broadcast(distinct), F.col("lang") == F.col("l")).where(share * F.col("n") <= 1.5 * rows + 64).select("lang", "h").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= rows)
+    return ranked.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("cut"))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """Counts trigrams by language over the bounded sample; what reaches the driver is one row a language and bucket."""
-    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(id).isNotNull())
-    order = F.xxhash64(F.col(id).cast("string"))
-    chosen = usable.select(F.col(id).alias("__id"), order.alias("__h")).orderBy("__h", "__id").limit(rows).select("__id").distinct()
-    sample = usable.join(F.broadcast(chosen), F.col(id) == F.col("__id"), "left_semi").select(F.col(label).alias("lang"), F.col(text).alias("text"))
+    """Counts trigrams by language over the bounded sample; what reaches the driver is one row a language."""
+    # Rows without an id count as rows of one id.
+    key = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")))
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("lang"), key.alias("h"), F.col(text).alias("text"))
+    cuts = materialise(_cuts(usable.select("lang", "h"), rows), "cuts")
+    sample = usable.join(F.broadcast(cuts), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("cut"))).select("lang", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
+
+        def counted():
+            for lang, c in totals.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([0, *c[at].tolist()], pa.int64())})
+
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts[lang] = texts.get(lang, 0) + 1
+                if lang not in totals and len(totals) >= _HELD:
+                    yield from counted()
+                    totals.clear()
                 totals[lang] = totals.get(lang, 0) + np.bincount(grams(t), minlength=BUCKETS)
-        for lang, c in totals.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([texts[lang], *c[at].tolist()], pa.int64())})
-
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    texts = counts[counts["bucket"] < 0].set_index("lang")["n"]
-    languages = sorted(sorted(texts[texts >= min(LEAST_ROWS, texts.max())].index, key=lambda x: (-texts[x], x))[:MOST_LANGUAGES]) if len(texts) else []
+        yield from counted()
+
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    by_language = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).select("lang", F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n")).toArrow().sort_by("lang")
+    # A label without a letter in its texts has nothing to be read by; such labels are classes only where all are like that.
+    lettered = pa.array([max(x) >= 0 for x in by_language["bucket"].to_pylist()], pa.bool_())
+    by_language = by_language.filter(lettered) if any(lettered.to_pylist()) else by_language
+    languages = by_language["lang"].to_pylist()
     if not languages:
         if not labelled.isEmpty():
             raise ValueError("no labelled rows to fit the text model on")
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
-    table = np.zeros((BUCKETS, len(languages)))
-    for i, lang in enumerate(languages):
-        own = counts[(counts["lang"] == lang) & (counts["bucket"] >= 0)]
-        table[own["bucket"].to_numpy(), i] = own["n"].to_numpy()
-    table = np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * BUCKETS))
-    return Model(languages, table.astype(np.float32))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((2, 0)))
+    table, usual = np.empty((BUCKETS, len(languages)), np.float32), np.zeros((2, len(languages)))
+    for i in range(len(languages)):
+        own = np.zeros(BUCKETS)
+        at, n = by_language["bucket"][i].values.to_numpy(), by_language["n"][i].values.to_numpy()
+        own[at[at >= 0]] = n[at >= 0]
+        logs = np.log((own + SMOOTH) / (own.sum() + SMOOTH * BUCKETS))
+        table[:, i] = logs
+        if own.any():
+            share = own / own.sum()
+            usual[0, i] = share @ logs
+            usual[1, i] = np.sqrt(max(0.0, share @ logs**2 - usual[0, i] ** 2))
+    return Model(languages, table, usual)
 
 
 def evidence_column(spark, model: Model, text: Column) -> Column:
-    """The text's tempered log-likelihoods in the order of the model's languages; null without a letter."""
+    """evidence: the text's tempered log-likelihoods in the order of the model's languages; excess: see ``Model.read``;
+    null without a letter."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.table))
+    shared = spark.sparkContext.broadcast((model.languages, model.table, model.usual))
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("struct<evidence:array<double>,excess:double>")
     def evidence(texts: pa.Array) -> pa.Array:
         hold("language_id", lambda: None)
         m = Model(*shared.value)
-        return pa.array([m.evidence(t.as_py()) for t in texts], pa.list_(pa.float64()))
+        found = [m.read(t.as_py()) or (None, None) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.list_(pa.float64())), pa.array([x for _, x in found], pa.float64())], names=["evidence", "excess"])
 
     return evidence(text)
 
@@ -126,62 +166,72 @@ def _argmax(values: Column) -> Column:
 def priors(rows: DataFrame, n: int, kappa: float = KAPPA) -> DataFrame:
     """host, prior (log-probabilities): ``rows`` has host and evidence.  Counts are pre-aggregated by host, then rolled up."""
     levels = ["suffix", "domain", "host"]
-    tallies = lambda of: [F.sum(of(i)).cast("double").alias(f"c{i}") for i in range(n)]
     named = rows.where("host IS NOT NULL AND evidence IS NOT NULL").select("host", _argmax(F.col("evidence")).alias("best"))
-    hosts = named.groupBy("host").agg(*tallies(lambda i: (F.col("best") == i + 1).cast("long")))
-    hosts = materialise(hosts.select(*(x.alias(name) for x, name in zip(host_levels(F.col("host")), levels)), F.array(*(f"c{i}" for i in range(n))).alias("counts")), "hosts")
-    summed = lambda keys: hosts.groupBy(*keys).agg(F.array(*(F.sum(F.col("counts")[i]) for i in range(n))).alias("counts"))
+    tallies = named.groupBy("host", "best").agg(F.count("*").alias("n"))
+    tallies = materialise(tallies.select(*(x.alias(name) for x, name in zip(host_levels(F.col("host")), levels)), "best", "n"), "hosts")
+
+    def summed(keys: list[str]) -> DataFrame:
+        found = tallies.groupBy(*keys, "best").agg(F.sum("n").cast("double").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"))
+        return found.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("counts"))
 
     def smoothed(counts: Column, above: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c)
         return F.transform(F.arrays_zip(counts.alias("c"), above.alias("p")), lambda x: (x["c"] + kappa * x["p"]) / (total + kappa))
 
-    even = F.array(*[F.lit(1.0 / n)] * n)
-    top = summed([]).select(smoothed(F.coalesce("counts", F.array(*[F.lit(0.0)] * n)), even).alias("p"))
+    even = F.array_repeat(F.lit(1.0 / n), n)
+    top = summed([]).select(smoothed(F.col("counts"), even).alias("p"))
     of_suffix = summed(["suffix"]).join(F.broadcast(top)).select("suffix", smoothed(F.col("counts"), F.col("p")).alias("p_suffix"))
     of_domain = summed(["suffix", "domain"]).join(of_suffix, "suffix").select("domain", smoothed(F.col("counts"), F.col("p_suffix")).alias("p_domain"))
-    of_host = hosts.join(of_domain, "domain").select("host", smoothed(F.col("counts"), F.col("p_domain")).alias("p"))
+    of_host = summed(levels).join(of_domain, "domain").select("host", smoothed(F.col("counts"), F.col("p_domain")).alias("p"))
     return materialise(of_host.select(F.col("host").alias("__host"), F.transform("p", F.ln).alias("__prior")), "priors")
 
 
-def trust(rows: DataFrame, languages: list[str]) -> Column:
-    """Log-likelihood of the declared language under each language, from grouped counts of declared against read language.
+def _known(languages: list[str]) -> Column:
+    return F.when(F.col("declared").isin(languages), F.col("declared"))
+
+
+def trust(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """__declared, __like: log-likelihood of the declared language under each language, from grouped counts of declared
+    against read language.
 
-    Declarations that name no known language count as one more value, so the counts are a bounded table.
+    Declarations that name no known language count as one more value, null, so the counts are a bounded table.
     """
     n = len(languages)
-    known = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.lit("other"))
-    counts = rows.where("declared IS NOT NULL AND evidence IS NOT NULL").groupBy(known.alias("d"), _argmax(F.col("evidence")).alias("best")).agg(F.count("*").alias("n")).collect()
-    values = [*languages, "other"]
+    counts = rows.where("declared IS NOT NULL AND evidence IS NOT NULL").groupBy(_known(languages).alias("d"), _argmax(F.col("evidence")).alias("best")).agg(F.count("*").alias("n")).collect()
+    values = [*languages, None]
+    place = {v: i for i, v in enumerate(values)}
     c = np.ones((n + 1, n)) * 0.5
     for r in counts:
-        c[values.index(r["d"]), r["best"] - 1] += r["n"]
+        c[place[r["d"]], r["best"] - 1] += r["n"]
     like = np.log(c / c.sum(0))
-    table = F.create_map(*(x for i, v in enumerate(values) for x in (F.lit(v), F.array(*map(F.lit, like[i].tolist())))))
-    return F.when(F.col("declared").isNotNull(), F.element_at(table, known)).otherwise(F.array(*[F.lit(0.0)] * n))
+    return rows.sparkSession.createDataFrame(pa.table({"__declared": pa.array(values, pa.string()), "__like": pa.array(like.tolist(), pa.list_(pa.float64()))}))
 
 
-def fuse(rows: DataFrame, prior_table: DataFrame, declared_like: Column, languages: list[str]) -> DataFrame:
-    """``rows`` (with host, declared, evidence) and language, posterior, rejected."""
+def fuse(rows: DataFrame, prior_table: DataFrame, declared_like: DataFrame, languages: list[str]) -> DataFrame:
+    """``rows`` (with host, declared, evidence, excess) and language, posterior, rejected."""
     n = len(languages)
-    flat = F.array(*[F.lit(0.0)] * n)
+    flat = F.array_repeat(F.lit(0.0), n)
     joined = rows.join(prior_table, F.col("host") == F.col("__host"), "left")
-    logits = F.transform(F.arrays_zip(F.col("evidence").alias("e"), F.coalesce("__prior", flat).alias("p"), declared_like.alias("d")), lambda x: x["e"] + x["p"] + x["d"])
+    joined = joined.join(F.broadcast(declared_like), F.col("declared").isNotNull() & _known(languages).eqNullSafe(F.col("__declared")), "left")
+    logits = F.transform(F.arrays_zip(F.col("evidence").alias("e"), F.coalesce("__prior", flat).alias("p"), F.coalesce("__like", flat).alias("d")), lambda x: x["e"] + x["p"] + x["d"])
     out = joined.withColumn("__logits", logits)
     top = F.array_max("__logits")
     share = 1 / F.aggregate("__logits", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
     names = F.array(*map(F.lit, languages))
-    posterior = F.coalesce(share, F.lit(0.0))
-    out = out.withColumns({"language": F.when(F.col("evidence").isNotNull(), F.element_at(names, F.array_position("__logits", top).cast("int"))), "posterior": posterior})
-    return out.withColumn("rejected", F.col("posterior") < REJECT_BELOW).drop("__logits", "__host", "__prior")
+    # The declared language against the class that fits best, at the least evidence that a language's own text has.
+    stands = F.col("declared").isNotNull() & _known(languages).isNull() & (F.col("excess") < 0)
+    posterior = F.when(stands, 1 / (1 + F.exp("excess"))).otherwise(F.coalesce(share, F.lit(0.0)))
+    named = F.when(stands, F.col("declared")).when(F.col("evidence").isNotNull(), F.element_at(names, F.array_position("__logits", top).cast("int")))
+    out = out.withColumns({"language": named, "posterior": posterior})
+    return out.withColumn("rejected", F.col("posterior") < REJECT_BELOW).drop("__logits", "__host", "__prior", "__declared", "__like", "excess")
 
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` has text, host, declared and columns to keep; returns these but the text, with language, posterior, rejected."""
     if not model.languages:
         return rows.drop("text").withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rejected": F.lit(True)})
-    seen = rows.withColumn("evidence", evidence_column(rows.sparkSession, model, F.col("text"))).drop("text")
-    seen = materialise(seen, "evidence")
+    seen = rows.withColumn("__read", evidence_column(rows.sparkSession, model, F.col("text"))).drop("text")
+    seen = materialise(seen.select("*", "__read.*").drop("__read"), "evidence")
     return fuse(seen, priors(seen, len(model.languages)), trust(seen, model.languages), model.languages).drop("evidence")
 
 
@@ -191,9 +241,9 @@ def keep(docs: DataFrame, model: Model, host: str = "source", declared: str = "l
         return docs.where(F.lit(False))
     names = {"host": F.col(host), "declared": F.lower(F.col(declared))}
     column = evidence_column(docs.sparkSession, model, F.col(text))
-    seen = materialise(docs.select(*(c.alias(k) for k, c in names.items()), column.alias("evidence")), "evidence")
+    seen = materialise(docs.select(*(c.alias(k) for k, c in names.items()), column.alias("__read")).select(*names, "__read.*"), "evidence")
     prior_table, like = priors(seen, len(model.languages)), trust(seen, model.languages)
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in names.items()), column.alias("evidence"))
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in names.items()), column.alias("__read")).select("__row", *names, "__read.*")
     return fuse(packed, prior_table, like, model.languages).where("NOT rejected").select("__row.*")
 
 

@@ -68,3 +68,33 @@ def test_pages_agree_with_their_markup(spark):
     got = li.language_id_pages(spark, SF)
     assert got.count() == 250
     assert got.where("language = declared").count() >= 240
+
+
+def test_rare_and_many_languages_are_classes(spark):
+    """A label of 3 rows in 12,000, and 70 labels more, each get a class; an unlike text keeps its unmodelled declaration."""
+    word = lambda i, j: "".join(chr(97 + (i * 7 + j * k + k * k) % 26) for k in range(3, 9))
+    rows = [(i, "the house is on the hill and the river runs by it", "en") for i in range(12_000)]
+    rows += [(20_000 + i, "talo on mäellä ja joki virtaa sen ohi hiljaa yöllä", "fi") for i in range(3)]
+    rows += [(30_000 + 10 * i + j, " ".join(word(i, k) for k in range(j, j + 12)), f"x{i:02}") for i in range(70) for j in range(3)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = li.train(labelled)
+    assert m.languages == ["en", "fi", *(f"x{i:02}" for i in range(70))]
+    asked = [(0, "joki virtaa talo on mäellä", "fi"), (1, "ελληνικά κείμενα που δεν μοιάζουν με κανένα άλλο εδώ", "el"), (2, "the house is on the hill", "el"), (3, "ελληνικά κείμενα που δεν μοιάζουν", None)]
+    df = spark.createDataFrame([(i, t, None, d) for i, t, d in asked], "id long, text string, host string, declared string")
+    got = {r.id: r for r in li.identify(df, m).collect()}
+    assert got[0].language == "fi" and not got[0].rejected
+    assert got[1].language == "el" and not got[1].rejected and got[1].posterior > 0.5
+    assert got[2].language == "en" and got[3].language in m.languages
+
+
+def test_sample_is_bounded_by_label(spark):
+    """The lowest hashes of each label, whatever the size of the others; rows without an id do not lose their label."""
+    rows = [(i, f"{'ab' if i % 10 else 'cd'} {i}", "big" if i % 10 else "small") for i in range(20_000)] + [(None, "efg efg", "none")]
+    usable = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keyed = usable.select("lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    cuts = {r.l: r.cut for r in li._cuts(keyed, 100).collect()}
+    hashes = {}
+    for r in keyed.collect():
+        hashes.setdefault(r.lang, []).append(r.h)
+    assert cuts == {k: sorted(v)[:100][-1] for k, v in hashes.items()}
+    assert li.train(usable, rows=100).languages == ["big", "none", "small"]
