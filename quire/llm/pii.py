@@ -3,7 +3,8 @@
 Base patterns find emails, addresses of hosts, cards and phones; these are the seeds.  The words around seeds are lexical
 patterns.  Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of its instances that
 are seeds or believed; an instance that no base pattern finds is believed as far as its patterns are good.  Instances that
-reach ``ACCEPT``, through patterns that ``SUPPORT`` different seeds and more induced, are identifiers too, wherever they occur.
+reach ``ACCEPT``, through patterns that ``SUPPORT`` different seeds and more induced, are identifiers too, wherever they occur,
+and induce patterns of the next round as seeds do.  An instance is a marked word, or a run of numbers on one line.
 
 Base spans are leftmost and do not overlap within a kind; matches that fail their test are dropped without a retry.
 Spans that the method adds never overlap a base span and never change the base counts.
@@ -11,6 +12,7 @@ Spans that the method adds never overlap a base span and never change the base c
 Defined results
   * null and empty texts have no spans; texts are read whole; positions count code points, ends are exclusive;
   * rows are told apart by position in the table, so null and repeated ``doc_id`` are returned row by row;
+  * a run is the longest one, of 7 to 19 digits; a word within a run is added only where the run is not;
   * ties between kinds of an added instance go to the kind listed first; an empty table gives an empty result;
   * further columns are ignored.
 """
@@ -42,6 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]|[(\[]at[)\]]")
 WORD = re.compile(r"\S+")
+#: Numbers of one line joined by space, dash, dot or brackets.
+RUN = re.compile(r"(?<!\w)[+(\[]{0,2}(?<!\w)[0-9]+(?:[ .()\[\]-]{1,2}[0-9]+)+(?!\w)")
 EDGE = ".,;:!?()[]{}<>\"'*#&$%"
 #: What an added instance of each kind must look like.
 SHAPES = {"email": r"@|[(\[]at[)\]]", "ip": r"^[0-9a-f]*[.:][0-9a-f]*[.:][0-9a-f.:]+$", "card": r"^([^0-9]?[0-9]){12,}[^0-9]?$", "phone": r"^[^0-9]{0,2}([0-9][^0-9]{0,2}){7,15}$"}
@@ -97,23 +101,38 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [f"{l2} {l1} _", f"{l1} _ {r1}"]
 
 
+def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of numbers with a space, beside the base spans."""
+    out, at = [], 0
+    for a, b in [*taken, (len(text), len(text))]:
+        out += [m.span() for m in RUN.finditer(text, at, a) if " " in m[0] and 7 <= len(_digits(m[0])) <= 19]
+        at = max(at, b)
+    return out
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds with their kind, and other marked words with the empty kind."""
-    out = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b)} for k, a, b in base]
+    """Seeds with their kind, and other marked words and runs with the empty kind; ``outer`` is the start of the run that
+    holds a word, or -1."""
+    out = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": -1} for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    i = 0
+    joined = runs(text, taken)
+    out += [{"kind": "", "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": -1} for a, b in joined]
+    i = j = 0
     for m in WORD.finditer(text):
         if not MARKED.search(m[0]):
             continue
         a, b = m.start() + len(m[0]) - len(m[0].lstrip(EDGE)), m.end() - len(m[0]) + len(m[0].rstrip(EDGE))
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
+        while j < len(joined) and joined[j][1] <= a:
+            j += 1
         if b - a >= 5 and not any(x < b and a < y for x, y in taken[i : i + 8]):
-            out.append({"kind": "", "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b)})
+            outer = joined[j][0] if j < len(joined) and joined[j][0] < b else -1
+            out.append({"kind": "", "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": outer})
     return out
 
 
-_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))])
+_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("contexts", pa.list_(pa.string())), ("outer", pa.int32())])
 _BASE = pa.struct([("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -133,37 +152,46 @@ def scan(docs: DataFrame) -> DataFrame:
     """row, doc_id, base spans and mentions of every text."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     span = "array<struct<place:int,start:int,end:int>>"
-    return rows.mapInArrow(_scan, f"row long, doc_id long, base {span}, mentions array<struct<kind:string,start:int,end:int,value:string,contexts:array<string>>>")
+    return rows.mapInArrow(_scan, f"row long, doc_id long, base {span}, mentions array<struct<kind:string,start:int,end:int,value:string,contexts:array<string>,outer:int>>")
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
-    """value, kind of the instances that the patterns of seeds make identifiers; ``found`` has kind, value, contexts."""
-    edges = found.select("kind", "value", F.explode("contexts").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.count("*").alias("n"))
+    """value, kind of the instances that the patterns of seeds, and of instances accepted by them, make identifiers; ``found``
+    has kind, value, contexts, outer.  Words within runs do not count again among what a pattern holds."""
+    edges = found.select("kind", "value", "outer", F.explode("contexts").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.count("*").alias("n"), F.count_if(F.col("outer") < 0).alias("whole"))
     edges = materialise(edges, "pattern-instances")
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    seeds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.sum("n").alias("seeds"), F.count("*").alias("values")).where(F.col("values") >= support)
-    patterns = materialise(seeds.join(totals, "pattern"), "patterns")
+    totals = edges.groupBy("pattern").agg(F.sum("whole").alias("total"))
+    seeds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.sum("n").alias("seeds"), F.count("*").alias("values"))
     open_edges = edges.where("kind = ''").select(F.col("pattern").alias("p"), "value", "n")
-    graph = open_edges.join(patterns, F.col("p") == F.col("pattern")).select("pattern", "kind", "value", "n", "seeds", "total")
     looks = F.lit(False)
     for kind, shape in SHAPES.items():
         looks = looks | ((F.col("kind") == kind) & F.col("value").rlike(shape))
-    graph = materialise(graph.where(looks), "graph")
+
+    def held(counted: DataFrame) -> DataFrame:
+        patterns = materialise(counted.where(F.col("values") >= support).join(totals, "pattern"), "patterns")
+        graph = open_edges.join(patterns, F.col("p") == F.col("pattern")).select("pattern", "kind", "value", "n", "seeds", "total")
+        return materialise(graph.where(looks), "graph")
 
     def believed(scored: DataFrame) -> DataFrame:
         doubt = F.sum(F.ln(1 - F.least(F.col("score"), F.lit(0.999))))
         return scored.groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("belief"))
 
-    scored = graph.withColumn("score", F.col("seeds") / (F.col("total") + SMOOTH))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+
+    def accepted(scored: DataFrame) -> DataFrame:
+        return believed(scored).where(F.col("belief") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("belief", -place)).alias("kind"))
+
+    scored = held(seeds).withColumn("score", F.col("seeds") / (F.col("total") + SMOOTH))
     for _ in range(rounds - 1):
+        own = accepted(scored).select(F.col("value").alias("v"), "kind")
+        induced = open_edges.join(own, F.col("value") == F.col("v")).groupBy(F.col("p").alias("pattern"), "kind").agg(F.lit(0).cast("long").alias("seeds"), F.count("*").alias("values"))
+        graph = held(seeds.unionByName(induced).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"), F.sum("values").alias("values")))
         beliefs = believed(scored).select(F.col("value").alias("v"), F.col("kind").alias("k"), "belief")
         own = graph.join(beliefs, (F.col("value") == F.col("v")) & (F.col("kind") == F.col("k")))
         gained = own.groupBy(F.col("pattern").alias("gp"), F.col("kind").alias("gk")).agg(F.sum(F.col("n") * F.col("belief")).alias("gain"))
         scored = graph.join(gained, (F.col("pattern") == F.col("gp")) & (F.col("kind") == F.col("gk")), "left")
-        scored = scored.select(*graph.columns, ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("total") + SMOOTH)).alias("score"))
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    best = believed(scored).where(F.col("belief") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("belief", -place)).alias("kind"))
-    return best
+        scored = materialise(scored.select(*graph.columns, ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("total") + SMOOTH)).alias("score")), "scored")
+    return accepted(scored)
 
 
 def _joined(spans: Column) -> Column:
@@ -178,7 +206,11 @@ def find(docs: DataFrame) -> DataFrame:
     found = rows.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     new = discover(found).withColumnsRenamed({"value": "v", "kind": "k"})
     place = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("k")) - 1).cast("int")
-    added = found.where("kind = ''").join(new, F.col("value") == F.col("v")).groupBy(F.col("row").alias("r")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end"))).alias("added"))
+    added = found.where("kind = ''").join(new, F.col("value") == F.col("v")).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct(place.alias("place"), "start", "end", "outer")).alias("added"))
+    # A word goes where the run that holds it is added.
+    starts = F.transform(F.filter("added", lambda s: s["outer"] < 0), lambda s: s["start"])
+    rest = F.filter("added", lambda s: (s["outer"] < 0) | ~F.array_contains("__starts", s["outer"]))
+    added = added.withColumn("__starts", starts).select("r", F.array_sort(F.transform(rest, lambda s: F.struct(s["place"].alias("place"), s["start"].alias("start"), s["end"].alias("end")))).alias("added"))
     none = F.array().cast("array<struct<place:int,start:int,end:int>>")
     return rows.join(added, F.col("row") == F.col("r"), "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 

@@ -65,3 +65,22 @@ def test_documents_and_empty(spark, sf_dir):
     want = {r.doc_id: hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in brute(r.text)).encode()).hexdigest() for r in df.collect()}
     assert {r.doc_id: r.base_sha256 for r in pii.op2_pii(spark, sf_dir).collect()} == want
     assert pii.digests(pii.find(df.limit(0))).count() == 0
+
+
+def test_runs_with_spaces_and_patterns_of_what_was_found(spark):
+    """Numbers written with spaces are found whole; what was found induces patterns that no seed shares."""
+    rows = [(i, f"x{i} please call me on +1 918 555 41{i:02} today, thanks") for i in range(30)]
+    new = ["0171 555 7713", "(017) 555-7714"]
+    rows += [(400 + i, f"u{i} pay with card {v} please") for i, v in enumerate(["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881", "6011 0009 9013 9424", "4111 1111 1111 1112"])]
+    rows += [(100 + i, f"y{i} please call me on {v} today, thanks") for i, v in enumerate(new)]
+    rows += [(200 + 10 * j + i, f"z{i} desk line {v} now") for i, v in enumerate([*new, "0171 555 8888"]) for j in range(3)]
+    rows += [(150, "y please call me on 0171 555 8888 today"), (300, "z desk line 0171 555 9999 now"), (301, "in 2019 10 of 77777 came")]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    text = dict(rows)
+    for i in (100, 101, 150, 200, 300, 404):
+        (_, a, b), = (x.split(":") for x in got[i].split(","))
+        want = {100: new[0], 101: new[1], 150: "0171 555 8888", 200: new[0], 300: "0171 555 9999", 404: "4111 1111 1111 1112"}[i]
+        assert text[i][int(a) : int(b)] == want
+    assert got[404].startswith("card:") and got[301] == ""
+    for hard in ("1" * 100_000, "1 " * 50_000, "(" * 100_000, "12 34 " * 20_000 + "x"):
+        assert pii.runs(hard, []) == []
