@@ -57,7 +57,7 @@ def html_to_markdown(t: Tables) -> DataFrame:
     from quire.operators.convert import html_to_markdown as convert
 
     rows = t.pages.select("page_id", tx.strip_tags(F.col("html")).alias("plain"), convert(F.col("html")).alias("md"))
-    return rows.select("page_id", F.length("md").alias("chars"), validate.loss(tx.decode_entities(F.col("plain")), F.col("md"), 0.9, 10_000).alias("ruler"))
+    return rows.select("page_id", F.length("md").alias("chars"), validate.loss(tx.decode_entities(F.col("plain")), F.col("md")).alias("ruler"))
 
 
 _ARTICLE = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"

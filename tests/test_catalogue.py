@@ -78,6 +78,23 @@ def test_census_and_tokens_of_all_kinds(spark, sf_dir, duck):
     assert {(r.source, r.kind, r.value): r.token for r in catalogue.queries()["pseudonymize_stable_all"](spark, sf_dir).collect()} == tokens
 
 
+def test_html_to_markdown_reports_planted_losses(spark, tmp_path):
+    """The parser keeps nothing of a template, whose letters count as the page's: 2 % of them, or 200, may be lost."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as tx
+    from quire.operators.convert import html_to_markdown
+
+    page = lambda kept, lost: f"<html><body><p>{'a' * kept}</p><template>{'b' * lost}</template></body></html>"
+    pages = [(i, page(k, n)) for i, (k, n) in enumerate([(20_000, 0), (20_000, 150), (18_100, 1_900), (1_000, 15), (1_000, 30), (100_000, 201), (100_000, 200)])]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    count = lambda s: sum(c.isalnum() for c in s or "")
+    read = spark.read.parquet(f"{tmp_path}/pages.parquet").select("page_id", tx.decode_entities(tx.strip_tags(F.col("html"))).alias("a"), html_to_markdown(F.col("html")).alias("b")).collect()
+    want = {r.page_id: "loss" if count(r.b) < 0.98 * count(r.a) or count(r.a) - count(r.b) > 200 else "intact" for r in read}
+    got = {r.page_id: r.ruler for r in catalogue.queries()["html_to_markdown"](spark, str(tmp_path)).collect()}
+    assert got == want == {0: "intact", 1: "intact", 2: "loss", 3: "intact", 4: "loss", 5: "loss", 6: "intact"}
+
+
 def test_roundtrip_restores(spark, sf_dir):
     rows = catalogue.queries()["pseudonymize_roundtrip"](spark, sf_dir).collect()
     assert all(r.restored for r in rows) and any(r.changed for r in rows)
