@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and runs in one process, as in local tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 #: ASCII white space, as every word and normalisation rule here defines it.
@@ -22,23 +23,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINT_DIR
+    """The folder that the driver and every executor share; one of our own only where driver and tasks are one process."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINT_DIR
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def _at(spark: SparkSession, path: str) -> tuple:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, whose files go when the driver's file system is closed."""
+    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    system, jvm_path = _at(spark, path)
+    system.deleteOnExit(jvm_path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders of ``by``, and read it back.
 
     Cuts the lineage without depending on any executor staying alive, and gives the planner real file sizes, so that
     a later join broadcasts the table only while it is under ``spark.sql.autoBroadcastJoinThreshold``.
-    The files go when the driver's file system is closed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialise` that nothing will read any more: all that came of them is written itself."""
+    for table in tables:
+        if path := getattr(table, "_quire_path", None):
+            system, jvm_path = _at(table.sparkSession, path)
+            system.delete(jvm_path, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

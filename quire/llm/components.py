@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import discard, materialise
 
 #: Each round at least halves the distance to a root, so this is beyond any table; it only stops a loop gone wrong.
 MOST_ROUNDS = 100
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # Small star: a node and its smaller neighbours move to the smallest of these.
         lower = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), "m")
         moved = large.join(lower, F.col("u") == F.col("center")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialise(moved.select("e.u", "e.v").where("u <> v").distinct(), name)
+        before, now = now, materialise(moved.select("e.u", "e.v").where("u <> v").distinct(), name)
+        discard(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(state) == seen:
             break
