@@ -33,7 +33,7 @@ ROUNDS = 3
 SUPPORT = 3
 SMOOTH = 1.0
 ACCEPT = 0.75
-#: Characters beside a mention in which its neighbouring words are looked for.
+#: Characters of a neighbouring word that count: the nearest ones.  Words are looked for within three times as many.
 CONTEXT = 80
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,13 +94,30 @@ def _word(word: str) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns: two words to the left, and a word on either side."""
-    left = [_word(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    right = [_word(w) for w in text[end : end + CONTEXT].split()[:1]]
-    l2, l1, r1 = ([""] * (2 - len(left)) + left) + (right or [""])
+    """Lexical patterns: two words to the left, and a word on either side.
+
+    Words shorter than ``CONTEXT`` are whole; of a longer one the nearest so many characters count, and nothing beyond it.
+    """
+    reach = 3 * CONTEXT
+    left = [w[-CONTEXT:] for w in text[max(0, start - reach) : start].split()[-2:]]
+    if left and len(left[-1]) == CONTEXT:
+        left = left[-1:]
+    right = [w[:CONTEXT] for w in text[end : end + reach].split()[:1]]
+    l2, l1, r1 = [""] * (2 - len(left)) + [*map(_word, left)] + ([*map(_word, right)] or [""])
     return [f"{l2} {l1} _", f"{l1} _ {r1}"]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of numbers with a space, beside the base spans."""
     out, at = [], 0
@@ -114,7 +131,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds with their kind, and other marked words and runs with the empty kind; ``outer`` is the start of the run that
     holds a word, or -1."""
     out = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": -1} for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+    taken = merged([(a, b) for _, a, b in base])
     joined = runs(text, taken)
     out += [{"kind": "", "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": -1} for a, b in joined]
     i = j = 0
@@ -122,11 +139,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         if not MARKED.search(m[0]):
             continue
         a, b = m.start() + len(m[0]) - len(m[0].lstrip(EDGE)), m.end() - len(m[0]) + len(m[0].rstrip(EDGE))
-        while i < len(taken) and taken[i][1] <= m.start():
-            i += 1
         while j < len(joined) and joined[j][1] <= a:
             j += 1
-        if b - a >= 5 and not any(x < b and a < y for x, y in taken[i : i + 8]):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if b - a >= 5 and not (i < len(taken) and taken[i][0] < b):
             outer = joined[j][0] if j < len(joined) and joined[j][0] < b else -1
             out.append({"kind": "", "start": a, "end": b, "value": text[a:b].lower(), "contexts": contexts(text, a, b), "outer": outer})
     return out
