@@ -118,3 +118,9 @@ def status_order(rows: DataFrame, keys: list[str], status: str) -> DataFrame:
     from quire.operators.validate import worst
 
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), worst(F.col(status), ["error", "loss", "pending", "ok"]).alias("status"))
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path stays below the folder it is taken from: relative, without a drive, and no step up in it."""
+    steps = F.split(F.translate(path, "\\", "/"), "/", -1)
+    return ~(F.startswith(path, F.lit("/")) | F.startswith(path, F.lit("\\")) | F.startswith(path, F.lit("~")) | path.rlike("^[A-Za-z]:") | F.array_contains(steps, ".."))

@@ -22,15 +22,23 @@ def fold(text: str) -> str:
 
 
 def parse_query(query: str) -> list[list[str]]:
-    """The phrases of a query: quoted ones, then single words of two and more characters that are no stop words.
+    """The phrases of a query, each the list of its tokens: quoted ones first, then the words between them.
 
-    A word with inner signs, such as a number with dots, is a phrase of its parts.
+    The query is cut at quotation marks, so every second piece is quoted; a mark that no other one closes quotes nothing.
+    Words are cut at white space; one whose letters are a stop word or fewer than two is left out, and a word with inner signs,
+    such as a number with dots, is a phrase of its parts.
     """
-    quoted = re.findall(r'"([^"]+)"', query)
-    rest = re.sub(r'"[^"]+"', " ", query)
-    words = [w.strip(".-/") for w in re.findall(r"[\w.\-º°ª/]+", rest)]
-    phrases = quoted + [w for w in words if len(w) >= 2 and w.lower() not in STOP_WORDS]
-    return [p for p in (re.findall(r"[^\W_]+", fold(x)) for x in phrases) if p]
+    pieces = query.split('"')
+    if len(pieces) % 2 == 0:
+        pieces[-2:] = [" ".join(pieces[-2:])]
+    quoted, loose = pieces[1::2], " ".join(pieces[::2]).split()
+    kept = []
+    for word in loose:
+        bare = "".join(c for c in word if c.isalnum())
+        if len(bare) >= 2 and bare.lower() not in STOP_WORDS:
+            kept.append(word)
+    phrases = [re.findall(r"[^\W_]+", fold(x)) for x in quoted + kept]
+    return [p for p in phrases if p]
 
 
 def token_string(tokens: Column) -> Column:

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quire.operators import calendar as cal
-from quire.operators import ledger, privacy, relational, search, segment, spans, validate
+from quire.operators import citations, extract, ledger, privacy, relational, search, segment, spans, validate
 
 D = dt.date
 
@@ -177,17 +177,52 @@ def test_packing_sections_articles(spark):
 def test_spans_and_citations(spark):
     text = "Ver Súmula Vinculante 11 e Súmula 7/STJ; art. 33 da Lei 11.343/06 e HC 123.456. [ID 1234567 | v1 p. 3] fls. 10-12, ID 7654321"
     df = spark.createDataFrame([(1, text), (2, None)], "id int, t string")
-    got = validate.citations(df, "id", "t").collect()
-    kinds = sorted((r.kind, r.g1) for r in got)
-    assert ("BINDING", "11") in kinds and ("PRECIS", "7") in kinds and ("ARTICLE", "33") in kinds and ("PRECEDENT", "HC") in kinds and ("ACT_ID", "7654321") in kinds and ("ANCHOR", "1234567") in kinds
+    got = citations.find(df, "id", "t").collect()
+    kinds = {(r.kind, r.number) for r in got}
+    assert ("BINDING", "11") in kinds and ("PRECIS", "7") in kinds and ("ARTICLE", "33") in kinds and ("PRECEDENT", "123.456") in kinds and ("ACT_ID", "7654321") in kinds and ("ANCHOR", "1234567") in kinds
     assert ("PRECIS", "11") not in kinds and ("ACT_ID", "1234567") not in kinds and ("ACT_PAGE", "3") not in kinds and ("ACT_PAGE", "10") in kinds
     assert all(text[r.start - 1 : r.end - 1] == r.match for r in got)
     inner = spans.spans(df, "id", F.col("t"), {"x": "[0-9]+"})
     assert [text[r.start - 1 : r.end - 1] for r in inner.orderBy("n").collect()][:2] == ["11", "7"]
 
 
+def test_forms_of_citation(spark):
+    cases = [
+        ("STF, Súmula 279", [("PRECIS", "279", None, None), ("PRECIS", "279", "STF", None)]), ("súmula n.º 7 do STJ", [("PRECIS", "7", "STJ", None)]), ("SV nº 24", [("BINDING", "24", None, None)]),
+        ("Tema de Repercussão Geral n. 1.234/STF", [("TOPIC", "1.234", "STF", None)]), ("art. 5º, § 2º, da Constituição Federal", [("ARTICLE", "5", "Constituicao Federal", None)]),
+        ("artigo 157, parágrafo único, inciso II, do Código Penal", [("ARTICLE", "157", "Codigo Penal", None)]), ("arts. 33-A da Lei nº 11.343/2006", [("ARTICLE", "33-A", "Lei nº 11.343/2006", None)]),
+        ("CPP, art. 312", [("ARTICLE", "312", None, None), ("ARTICLE", "312", "CPP", None)]), ("AgInt no AREsp 1.234.567/SP", [("PRECEDENT", "1.234.567", "AgInt no AREsp", "SP")]), ("EREsp nº 123456", [("PRECEDENT", "123456", "EREsp", None)]),
+        ("RvCr 5.555 e Inq. 4781", [("PRECEDENT", "4781", "Inq", None), ("PRECEDENT", "5.555", "RvCr", None)]), ("hc 123.456 de volta re 1234", [("PRECEDENT", "1234", "re", None), ("PRECEDENT", "123.456", "hc", None)]), ("Informativo nº 800/STJ", [("BULLETIN", "800", "STJ", None)]),
+        ("págs. 3, fls. 10-12", [("ACT_PAGE", "10", None, "12")]), ("[ID - | v2 p. 9 | x]", [("ANCHOR", "-", "v2", "9")]), ("Súmula 11 Vinculante; chart. 5; 12 HC", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, t string")
+    got = {}
+    for r in citations.find(df, "id", "t").collect():
+        got.setdefault(r.id, []).append((r.kind, r.number, r.scope, r.part))
+    key = lambda xs: sorted(xs, key=str)
+    for i, (t, want) in enumerate(cases):
+        assert key(got.get(i, [])) == key(want), t
+
+
+def test_citations_in_collections(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"julgado no HC n. {'123.456' if i % 2 else '123456'} e no REsp 99.{i}00") for i in range(6)] + [("e", "Tema 1.046 do STF; HC 1123456"), ("n", None)], "doc string, body string")
+    cited = spark.createDataFrame([(1, "PRECEDENT", "123.456", "AgRg no HC", "NOT_FOUND"), (2, "TOPIC", "1046", None, "NO_SOURCE"), (3, "PRECEDENT", "777.777", "HC", "NOT_FOUND"), (4, "PRECIS", "7", "STJ", "CANCELLED")], "n int, kind string, number string, scope string, status string")
+    hits = citations.in_collections(cited, docs, "doc", "body")
+    assert rows(hits, "key", "doc", "rank") == [("PRECEDENT hc 123456", "d0", 1), ("PRECEDENT hc 123456", "d1", 2), ("PRECEDENT hc 123456", "d2", 3), ("TOPIC  1046", "e", 1)]
+    assert rows(citations.located(cited, hits, "doc"), "n", "status") == [(1, "OK"), (2, "OK"), (3, "NOT_FOUND"), (4, "CANCELLED")]
+
+
+def test_margins_and_penalties(spark):
+    lines = ["corpo do texto", "xx Assinado eletronicamente por: FULANO - 01/02/2024 10:00:00", "https://pje.tj.jus.br/x?y=1", "Número do documento: 24010112345678", " Num. 123456 - Pág. 3 ", "Documento assinado digitalmente conforme MP", "Código de validação: ABC.123", "o Num. 123456 - Pág. 3 foi citado"]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string").select(segment.without_margins(F.col("t")).alias("t"))
+    assert df.first().t == lines[0] + "\n" + lines[-1]
+    cases = {"Matar alguém:\nPena - reclusão, de seis a vinte anos.": 240, "Pena – detenção, de um mês a um ano, e multa.": 12, "reclusão, de 4 (quatro) a 10 (dez) anos, e multa": 120, "detenção de 15 dias": None, "reclusão, de 2 (dois) meses a 8 meses": 8, "Art. 1\n§ 1º reclusão, de um a dois anos": None, "reclusão de dois a doze anos": 144, "detenção, de três meses a três anos, ou multa, se o fato": 36}
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", extract.maximum_penalty(F.col("t")).alias("m"))
+    assert [m for _, m in rows(got, "i", "m")] == list(cases.values())
+
+
 def test_verification_has_more_than_two_outcomes(spark):
-    cited = spark.createDataFrame([(1, "PRECIS", "7", "STJ", None), (2, "PRECIS", "7", None, None), (3, "PRECIS", "99", "STJ", None), (4, "PRECIS", "8", "STF", None), (5, "TOPIC", "1", "STF", None), (6, "PRECIS", "9", "STJ", "texto que nada tem a ver com a fonte citada"), (7, "PRECIS", "9", "STJ", "a fonte diz exatamente isto")], "n int, kind string, g1 string, g2 string, quote string")
+    cited = spark.createDataFrame([(1, "PRECIS", "7", "STJ", None), (2, "PRECIS", "7", None, None), (3, "PRECIS", "99", "STJ", None), (4, "PRECIS", "8", "STF", None), (5, "TOPIC", "1", "STF", None), (6, "PRECIS", "9", "STJ", "texto que nada tem a ver com a fonte citada"), (7, "PRECIS", "9", "STJ", "a fonte diz exatamente isto")], "n int, kind string, number string, scope string, quote string")
     sources = spark.createDataFrame([("PRECIS", "7", "stj", "a", False), ("PRECIS", "7", "stf", "b", False), ("PRECIS", "8", "stf", "c", True), ("PRECIS", "9", "stj", "a fonte diz exatamente isto aqui", False)], "kind string, key string, scope string, body string, cancelled boolean")
     assert rows(validate.verify(cited, sources, "quote"), "n", "status") == [(1, "OK"), (2, "AMBIGUOUS"), (3, "NOT_FOUND"), (4, "CANCELLED"), (5, "NO_SOURCE"), (6, "DIVERGES"), (7, "OK")]
     acts = spark.createDataFrame([(1, "1234567", ["7777777"], 1, 9), (2, "7777777", [], 10, 12)], "act int, id string, variants array<string>, pag_ini int, pag_fim int")
