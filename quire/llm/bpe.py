@@ -49,6 +49,42 @@ NEVER = np.int64(1) << 40
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+# The tokenizers library reads letters and numbers as of Unicode 16.0.  What the pattern package takes for such and
+# 16.0 does not know, and the lower case, which it reads as of 17.0, of letters that came after 15.1.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+FIRST_NEWER = chr(min(NEWER)[0])
+
+#: The parts of a tokenizer file that this module does, as the file states them; a file that states others is refused.
+SUPPORTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CONTRACTIONS + "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+SUPPORTED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def refuse_others(spec: dict) -> None:
+    """An error for a tokenizer file whose parts this module does not do, rather than other ids than the library's."""
+    stated = {name: spec.get(name) for name in SUPPORTED} | {name: spec["model"].get(name, default) for name, default in SUPPORTED_MODEL.items()}
+    odd = sorted(name for name, value in (SUPPORTED | SUPPORTED_MODEL).items() if stated[name] != value)
+    odd += sorted({f"added token {t['content']}" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"]})
+    if odd:
+        raise ValueError(f"tokenizer parts that are not supported: {', '.join(odd)}")
+
 
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printable in Latin-1, else the next one from 256 on."""
@@ -62,6 +98,7 @@ class Bpe:
 
     def __init__(self, source: bytes):
         spec = json.loads(source)
+        refuse_others(spec)
         vocab = dict(spec["model"]["vocab"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -99,6 +136,10 @@ class Bpe:
         self.width = n
         self.ascii = re.compile(f"{CONTRACTIONS}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
         self.any = regex.compile(f"{CONTRACTIONS}|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+")
+        newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+        self.newer = re.compile(f"[{newer}]")
+        self.rare = regex.compile(f"(?V1){CONTRACTIONS}|[\\p{{L}}--[{newer}]]+|[\\p{{N}}--[{newer}]]|(?:[^{WHITE}\\p{{L}}\\p{{N}}]|[{newer}])+")
+        self.later_case = re.compile("[" + "".join(map(chr, LOWER)) + "]")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.merged_exactly = 0
 
@@ -240,7 +281,12 @@ class Bpe:
             else:
                 if not unicodedata.is_normalized("NFC", part):
                     part = unicodedata.normalize("NFC", part)
-                out += self.any.findall(part.replace("Σ", "σ").lower())  # no final sigma: letter by letter
+                part = part.replace("Σ", "σ").lower()  # no final sigma: letter by letter
+                if max(part) >= FIRST_NEWER:
+                    part = part.translate(LOWER) if self.later_case.search(part) else part
+                    out += (self.rare if self.newer.search(part) else self.any).findall(part)
+                else:
+                    out += self.any.findall(part)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -33,6 +33,32 @@ def test_same_as_the_library(spark, sf_dir, library):
     assert own.merged_exactly > 0
 
 
+def test_every_code_point_as_the_library_reads_it(library):
+    own = bpe.load(bpe.tokenizer_path())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = []
+    for at in range(0, len(points), 100_000):
+        texts = [f"a{chr(c)}b" for c in points[at : at + 100_000]]
+        odd += [t for t, g, w in zip(texts, own.encode(texts), library.encode_batch_fast(texts, add_special_tokens=False)) if np.frombuffer(g, "<u4").tolist() != w.ids]
+    assert odd == []
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    spec = json.load(open(bpe.tokenizer_path()))
+    for part, value in (("normalizer", None), ("pre_tokenizer", {"type": "ByteLevel"}), ("decoder", {"type": "ByteLevel"})):
+        with pytest.raises(ValueError, match=part):
+            bpe.refuse_others(spec | {part: value})
+    for part in ("unk_token", "ignore_merges", "byte_fallback", "end_of_word_suffix"):
+        with pytest.raises(ValueError, match=part):
+            bpe.refuse_others(spec | {"model": spec["model"] | {part: "x"}})
+    with pytest.raises(ValueError, match="added token"):
+        bpe.refuse_others(spec | {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]})
+    with pytest.raises(ValueError, match="end_of_word_suffix"):
+        bpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_exact_merging_agrees_with_speculation(library):
     own = bpe.Bpe(open(bpe.tokenizer_path(), "rb").read())
     rng = random.Random(9)
