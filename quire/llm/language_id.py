@@ -15,7 +15,10 @@ Defined results
   * a missing host or declaration adds no evidence; ``REJECT_BELOW`` rejects rows that no language explains better;
   * equal posteriors go to the language first in order of name; rows are judged one by one, repeated rows alike;
   * a label whose texts have no letter is no class beside others; an empty table gives an empty result; the text model cannot be fitted on rows without labels: an error;
-  * :func:`keep` passes all columns through; helper columns have names that start with two underscores.
+  * a text's evidence is that of all its trigrams, tempered to the weight of ``MOST_GRAMS`` at most, so that priors and
+    declarations still count for long texts;
+  * :func:`keep` passes all columns through; helper columns have names that start with two underscores; :func:`identify`
+    returns columns of its own named language, posterior and rejected, and takes none of these names, nor evidence or excess.
 """
 
 from __future__ import annotations
@@ -33,11 +36,14 @@ from quire.llm.common import hold, materialise, read, small_batches
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
 SMOOTH = 0.5
-#: Neighbouring trigrams repeat each other: a text counts as at most so many independent ones.
+#: Neighbouring trigrams repeat each other: a text counts as at most so many independent ones.  More of them would have any
+#: long text outweigh priors and declarations however mixed it is; fewer would leave short texts to the priors.
 MOST_GRAMS = 60
 KAPPA = 20.0
 REJECT_BELOW = 0.5
 UNLIKE = 3.0
+# Labels below which countries register names.
+SECOND_LEVELS = ["ac", "co", "com", "edu", "gob", "gov", "gouv", "ltd", "net", "nom", "org", "or", "ne", "plc", "sch"]
 #: Languages that a task counts before it lets go of their counts.
 _HELD = 32
 _PIECE = 1 << 20
@@ -155,8 +161,14 @@ def evidence_column(spark, model: Model, text: Column) -> Column:
 
 
 def host_levels(host: Column) -> list[Column]:
-    """Suffix, registered domain and host of an address; a name without dots is its own domain and suffix."""
-    return [F.regexp_extract(host, "([^.]*)$", 1), F.regexp_extract(host, "((?:[^.]*\\.)?[^.]*)$", 1), host]
+    """Suffix, registered domain and host of an address; a name without dots is its own domain and suffix.
+
+    A suffix is the last label, with the one before it where that is a usual second level of a country (``co.uk``).
+    """
+    second = "|".join(SECOND_LEVELS)
+    suffix = F.regexp_extract(host, f"((?:(?<![^.])(?:{second})\\.(?=[^.]{{2}}$))?[^.]*)$", 1)
+    before = F.regexp_extract(F.left(host, F.length(host) - F.length(suffix)), "([^.]*\\.)$", 1)
+    return [suffix, F.concat(before, suffix), host]
 
 
 def _argmax(values: Column) -> Column:
@@ -228,6 +240,8 @@ def fuse(rows: DataFrame, prior_table: DataFrame, declared_like: DataFrame, lang
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` has text, host, declared and columns to keep; returns these but the text, with language, posterior, rejected."""
+    if taken := {"language", "posterior", "rejected", "evidence", "excess"} & set(rows.columns):
+        raise ValueError(f"columns that would be overwritten: {sorted(taken)}")
     if not model.languages:
         return rows.drop("text").withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rejected": F.lit(True)})
     seen = rows.withColumn("__read", evidence_column(rows.sparkSession, model, F.col("text"))).drop("text")
@@ -236,15 +250,22 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, host: str = "source", declared: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns.  Texts are read twice instead of being stored."""
+    """The rows of ``docs`` that are not rejected, with all their columns.
+
+    A decision depends on text, host and declaration alone.  It is made on rows without text, which carry a key of 128 bits
+    of these three; what is joined with the whole rows is the keys of rejected ones, broadcast while they are few.
+    """
     if not model.languages:
         return docs.where(F.lit(False))
     names = {"host": F.col(host), "declared": F.lower(F.col(declared))}
+    stated = [x for c in (text, host, declared) for x in (F.col(c), F.col(c).isNull())]
+    key = lambda name: [F.xxhash64(*stated).alias(f"{name}1"), F.xxhash64(F.lit(1), *stated).alias(f"{name}2")]
     column = evidence_column(docs.sparkSession, model, F.col(text))
-    seen = materialise(docs.select(*(c.alias(k) for k, c in names.items()), column.alias("__read")).select(*names, "__read.*"), "evidence")
-    prior_table, like = priors(seen, len(model.languages)), trust(seen, model.languages)
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in names.items()), column.alias("__read")).select("__row", *names, "__read.*")
-    return fuse(packed, prior_table, like, model.languages).where("NOT rejected").select("__row.*")
+    seen = materialise(docs.select(*key("k"), *(c.alias(k) for k, c in names.items()), column.alias("__read")).select("k1", "k2", *names, "__read.*"), "evidence")
+    fused = fuse(seen, priors(seen, len(model.languages)), trust(seen, model.languages), model.languages)
+    gone = materialise(fused.where("rejected").select(F.col("k1").alias("__gone1"), F.col("k2").alias("__gone2")).distinct(), "rejected")
+    k1, k2 = key("__k")
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(gone, (F.col("__k1") == F.col("__gone1")) & (F.col("__k2") == F.col("__gone2")), "left_anti").drop("__k1", "__k2")
 
 
 def page_text(html: Column) -> Column:

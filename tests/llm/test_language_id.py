@@ -1,3 +1,7 @@
+import collections
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +55,90 @@ def test_priors_decide_where_texts_cannot(spark, docs, model):
     assert got[100].language == "fr" and got[101].language == "de" and got[102].language == "de"
 
 
+def levels(host):
+    labels = host.split(".")
+    n = 2 if len(labels) > 1 and len(labels[-1]) == 2 and labels[-2] in li.SECOND_LEVELS else 1
+    return [".".join(labels[-n:]), ".".join(labels[-n - 1 :]), host]
+
+
+def by_hand(model, rows):
+    """The fusion in plain Python: (language, posterior, rejected) of rows (text, host, declared)."""
+    names, n = model.languages, len(model.languages)
+    read = [model.read(t) for t, _, _ in rows]
+    best = [r and r[0].index(max(r[0])) for r in read]
+    counts = collections.defaultdict(lambda: [0.0] * n)
+    for b, (_, host, _) in zip(best, rows):
+        if host is not None and b is not None:
+            for level in [(), *((i, name) for i, name in enumerate(levels(host)))]:
+                counts[level][b] += 1
+
+    def prior(host):
+        p = [1 / n] * n
+        for level in [(), *((i, name) for i, name in enumerate(levels(host)))]:
+            total = sum(counts[level])
+            p = [(c + li.KAPPA * q) / (total + li.KAPPA) for c, q in zip(counts[level], p)]
+        return p
+
+    like = {d: [0.5] * n for d in [*names, None]}
+    for b, (_, _, declared) in zip(best, rows):
+        if declared is not None and b is not None:
+            like[declared if declared in names else None][b] += 1
+    of = [sum(like[d][i] for d in like) for i in range(n)]
+    out = []
+    seen = {host for b, (_, host, _) in zip(best, rows) if b is not None}
+    for found, (_, host, declared) in zip(read, rows):
+        if found is None:
+            out.append((None, 0.0, True))
+        elif declared is not None and declared not in names and found[1] < 0:
+            out.append((declared, 1 / (1 + math.exp(found[1])), 1 / (1 + math.exp(found[1])) < li.REJECT_BELOW))
+        else:
+            logits = list(found[0])
+            if host is not None and host in seen:
+                logits = [x + math.log(p) for x, p in zip(logits, prior(host))]
+            if declared is not None:
+                logits = [x + math.log(c / t) for x, c, t in zip(logits, like[declared if declared in names else None], of)]
+            top = max(logits)
+            share = 1 / sum(math.exp(x - top) for x in logits)
+            out.append((names[logits.index(top)], share, share < li.REJECT_BELOW))
+    return out
+
+
+def test_fusion_same_as_brute_force_and_right_despite_wrong_declarations(spark, docs, model):
+    """Declarations of which a third is wrong, missing or of no class, and hosts on several levels."""
+    rng = random.Random(4)
+    held = [(r.text, r.lang) for r in docs.where("doc_id % 2 = 1").limit(400).collect()]
+    rows, truth = [], []
+    for text, lang in held:
+        host = rng.choice([None, f"{rng.choice('ab')}.site-{lang}.co.uk", f"www.{lang}.example", f"{lang}", "mixed.example.com.br"])
+        declared = rng.choice([lang, lang, rng.choice(model.languages), None, "xx"])
+        part = text if rng.random() < 0.5 else " ".join(text.split()[: rng.randrange(1, 4)])
+        rows.append((part, host, declared))
+        truth.append(lang)
+    rows += [("ελληνικά κείμενα που δεν μοιάζουν", None, "el"), ("123", "a.b", "en"), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, host string, declared string")
+    got = {r.id: (r.language, r.posterior, r.rejected) for r in li.identify(df, model).collect()}
+    want = by_hand(model, rows)
+    for i, (language, posterior, rejected) in enumerate(want):
+        assert got[i][0] == language and abs(got[i][1] - posterior) < 1e-6 and got[i][2] == rejected, rows[i]
+    whole = [i for i, lang in enumerate(truth) if rows[i][0] and len(rows[i][0]) > 200]
+    assert sum(got[i][0] == truth[i] for i in whole) >= 0.97 * len(whole)
+    assert sum(rows[i][2] not in (None, truth[i]) for i in whole) > 0.2 * len(whole)
+    docs_of = spark.createDataFrame([(i, t, d, h) for i, (t, h, d) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in li.keep(docs_of, model).collect()} == {i for i, w in enumerate(want) if not w[2]}
+
+
+def test_levels_of_hosts(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.com.br", "www.example.org", "example.org", "localhost", "", "notco.uk", "a.uk.com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert [list(r) for r in df.select(*li.host_levels(F.col("host"))).collect()] == [levels(h) for h in hosts]
+
+
+def test_taken_names_are_refused(spark, model):
+    df = spark.createDataFrame([("the house", None, None, "x")], "text string, host string, declared string, language string")
+    with pytest.raises(ValueError, match="language"):
+        li.identify(df, model)
+
+
 def test_edges(spark, model):
     assert model.evidence("A.") is not None  # one letter is evidence, if not much
     rows = [(None, "a", "en"), ("", None, None), ("123 !?", "a", "fr"), ("the and that of the with and this", None, "xx"), ("the and that of the with and this", "a", None)]
