@@ -132,7 +132,8 @@ def differing(docs: DataFrame, prints: DataFrame, piece: int = PIECE, members_pe
     members = prints.join(groups, PRINT).select("doc_id", "text_sha256", *PRINT, "first", "salts").distinct()
     leads = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_sha256") == F.col("first.text_sha256"))
     salt = F.when(leads, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "text_sha256"), F.col("salts")).cast("int")))
-    members = members.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), *PRINT, leads.alias("leads"), salt.alias("salt"))
+    # Written, so that the planner sees how few they are: while they fit a broadcast, only their own texts are shuffled.
+    members = materialise(members.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), *PRINT, leads.alias("leads"), salt.alias("salt")), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
     # Repeated rows of one id and text need one comparison: the join on both keeps them apart from other texts of that id.
     # Null-safe on both, or the planner would hash every text once more to find that its hash is not null.
@@ -161,12 +162,19 @@ def assign(docs: DataFrame, huge: int = HUGE, piece: int = PIECE, members_per_sa
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated equal rows with one id, one stays."""
-    stays = assign(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """The rows of ``docs`` that stay, with all their columns; of repeated equal rows with one id, one stays.
+
+    Only what goes, and what is repeated, is joined with the rows: ids and hashes, which are broadcast while they are few.
+    """
+    decided = assign(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__rows"))
+    special = materialise(decided.where("NOT __kept OR (__rows > 1 AND __id IS NOT NULL)").select("__id", "__sha", "__kept"), "special")
     rows = docs.withColumn("__text_sha", F.sha2(normalised(), 256))
-    rows = rows.join(stays, F.col("__text_sha").eqNullSafe(F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    one = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__text_sha"])
-    return one.unionByName(rows.where("doc_id IS NULL")).drop("__text_sha")
+    of = F.col("__text_sha").eqNullSafe(F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    out = rows.join(special, of, "left_anti")
+    repeated = special.where("__kept")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, of, "left_semi").dropDuplicates(["doc_id", "__text_sha"]))
+    return out.drop("__text_sha")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
