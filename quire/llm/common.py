@@ -19,7 +19,10 @@ SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A standard table.  One that its scan reads in fewer tasks than there are cores is dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    wanted = spark.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= wanted else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
