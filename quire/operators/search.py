@@ -75,10 +75,22 @@ def bm25(docs: DataFrame, id: str, text: str, query: str, k: int | None = 10, an
     counts = lambda x: [c for i, p in enumerate(phrases) for c in (F.lit(f"__f{i}"), phrase_count(x["t"], x["s"], p))]
     bound = F.transform(both, lambda x: F.named_struct(F.lit("__len"), F.size(x["t"]), *counts(x)))
     counted = docs.select(id, F.explode_outer(bound).alias("__x")).select(id, "__x.*")
-    fs = [F.col(f"__f{i}") for i in range(len(phrases))]
+    totals = counted.agg(F.count("*").alias("__N"), F.avg("__len").alias("__avg"))
+    return ranked(counted, totals, len(phrases), id, k, any_if_none)
+
+
+def ranked(counted: DataFrame, totals: DataFrame, phrases: int, id: str, k: int | None, any_if_none: bool) -> DataFrame:
+    """Scores of documents whose phrases are counted (__len, __f0 ..); ``totals`` has one row, __N and __avg.
+
+    Documents without any of the phrases may be left out of ``counted``.
+    """
+    if not phrases:
+        return counted.select(id, F.lit(0.0).alias("score"), F.lit(0).alias("matched")).where(F.lit(False))
+    fs = [F.col(f"__f{i}") for i in range(phrases)]
     every = F.least(*fs, fs[0]) > 0
-    stats = counted.agg(F.count("*").alias("__N"), F.avg("__len").alias("__avg"), F.count_if(every).alias("__all"), *(F.count_if(f > 0).alias(f"__n{i}") for i, f in enumerate(fs)))
-    rows = counted.where(F.greatest(*fs, fs[0]) > 0).join(F.broadcast(stats))
+    own = counted.agg(F.count_if(every).alias("__all"), *(F.count_if(f > 0).alias(f"__n{i}") for i, f in enumerate(fs)))
+    # Both are tables of one row.
+    rows = counted.where(F.greatest(*fs, fs[0]) > 0).join(F.broadcast(own)).join(F.broadcast(totals))
     score = F.lit(0.0)
     for i, f in enumerate(fs):
         n = F.col(f"__n{i}")
@@ -92,22 +104,11 @@ def bm25(docs: DataFrame, id: str, text: str, query: str, k: int | None = 10, an
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """term, id, tf, len: the inverted index, to be written partitioned by a hash of the term."""
+    """term, id, tf, len: the inverted index without positions; :mod:`quire.operators.fulltext` stores one with them."""
     t = docs.select(id, tx.tokens(F.col(text)).alias("__t")).select(id, F.size("__t").alias("len"), F.explode("__t").alias("term"))
     return t.groupBy("term", id, "len").agg(F.count("*").alias("tf")).select("term", id, "tf", "len")
 
 
-def bm25_from_postings(index: DataFrame, stats: DataFrame, id: str, query: str, k: int = 10) -> DataFrame:
-    """The same ranking, any term matching, from a stored index; ``stats`` has one row, n_docs and avg_len."""
-    terms = sorted({t for p in parse_query(query) for t in p})
-    hits = index.where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("__n"))
-    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.ln((F.col("n_docs") - F.col("__n") + 0.5) / (F.col("__n") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return rows.groupBy(id).agg((-F.sum(part)).alias("score")).orderBy("score", id).limit(k)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, summed in double; null if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
@@ -143,15 +144,17 @@ def reciprocal_ranks(text_hits: DataFrame, vector_hits: DataFrame, key: str, con
 def collapse_copies(rows: DataFrame, text: str, id: str, order: list[Column | str], shown: int = 3) -> DataFrame:
     """One row for each duplicate key: the first in ``order``, with the number of copies and the first few others.
 
-    Texts without letters have no key and stay alone.  The others are capped by rank before they are gathered.
+    Texts without letters have no key and stay alone.  The others are capped by rank before they are gathered; ids are unique.
     """
-    from quire.operators.relational import first_wins
-
-    keyed = rows.withColumn("dup_key", tx.duplicate_key(F.col(text))).withColumn("__k", F.when(F.col("dup_key") == "", F.concat(F.lit("\0"), F.col(id).cast("string"))).otherwise(F.col("dup_key")))
-    counts = keyed.groupBy("__k").agg(F.count("*").alias("copies"))
-    ranked = keyed.select("__k", F.col(id).alias("__id"), F.row_number().over(Window.partitionBy("__k").orderBy(*order)).alias("__n")).where(F.col("__n").between(2, shown + 1))
-    others = ranked.groupBy("__k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col("__id").cast("string").alias("i")))), lambda x: x["i"]), ",").alias("also_in"))
-    return first_wins(keyed, ["__k"], order).join(counts, "__k").join(others, "__k", "left").withColumn("also_in", F.coalesce("also_in", F.lit(""))).drop("__k")
+    key = F.when(F.col("dup_key") == "", F.concat(F.lit("\0"), F.col(id).cast("string"))).otherwise(F.col("dup_key"))
+    keyed = rows.withColumn("dup_key", tx.duplicate_key(F.col(text))).withColumn("__k", key)
+    # Ranks, counts and the shown others need no texts; only rows that stay are read with theirs.
+    rank = F.row_number().over(Window.partitionBy("__k").orderBy(*order))
+    narrow = keyed.select("__k", F.col(id).alias("__id"), rank.alias("__n"))
+    shown_ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("__n").between(2, shown + 1), F.struct("__n", F.col("__id").cast("string").alias("i"))))), lambda x: x["i"])
+    groups = narrow.groupBy("__k").agg(F.min_by("__id", "__n").alias("__first"), F.count("*").alias("copies"), F.array_join(shown_ids, ",").alias("also_in"))
+    kept = groups.select("__first", "copies", "also_in")
+    return rows.withColumn("dup_key", tx.duplicate_key(F.col(text))).join(kept, F.col(id) == F.col("__first")).drop("__first")
 
 
 def hits(docs: DataFrame, id: str, text: str, query: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, retrieval, tables  # noqa: F401  they register their queries
+from quire.plans import documents, files, planted, retrieval, rules, tables  # noqa: F401  they register their queries
 from quire.plans.registry import ORACLES, QUERIES
 
 

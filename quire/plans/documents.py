@@ -12,9 +12,18 @@ from quire.plans.registry import Tables, query
 TEXT = tx.FOLD_SQL.format("text")
 
 
-@query()
+_STEP = """lambda acc, x: CASE WHEN length(acc.now) + length(x.now) + 2 > 1000 AND acc.now <> ''
+    THEN {'done': list_append(acc.done, trim(acc.now)), 'now': right(acc.now, 100) || chr(10) || x.now}
+    ELSE {'done': acc.done, 'now': CASE WHEN acc.now = '' THEN x.now ELSE acc.now || chr(10) || x.now END} END"""
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, source, text, list_reduce(list_transform(string_split(text, chr(10)), lambda p: {{'done': []::VARCHAR[], 'now': p}}), {_STEP}, {{'done': []::VARCHAR[], 'now': ''}}) AS f FROM documents),
+c AS (SELECT doc_id, source, CASE WHEN length(text) <= 1000 THEN [text] WHEN trim(f.now) <> '' THEN list_append(f.done, trim(f.now)) ELSE f.done END AS chunks FROM p),
+r AS (SELECT doc_id, source, unnest(range(len(chunks)))::INTEGER AS part, unnest(chunks) AS chunk FROM c)
+SELECT doc_id, part, length(chunk)::INTEGER AS chars, left(sha256(chunk), 16) AS hash, source || '|' || doc_id || '|v1|1|' || part || '|' || left(sha256(chunk), 16) AS chunk_id FROM r WHERE length(chunk) >= 1""")
 def chunk_paragraphs(t: Tables) -> DataFrame:
-    """Documents packed into blocks of whole lines, with an overlap."""
+    """Documents packed into blocks of whole lines, with an overlap."""
     rows = segment.chunks(t.documents, F.col("source"), F.col("doc_id"), F.lit("v1"), F.lit(1), "text", most=1000, overlap=100, separator="\\n", glue="\n")
     return rows.select("doc_id", "part", "chars", "hash", "chunk_id")
 

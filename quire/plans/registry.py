@@ -20,6 +20,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that its scan reads in fewer tasks than there are cores, such as one small file, dealt to all of them.  Tables
+    of more splits than that stay as they are."""
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= wanted else rows
+
+
 def query(sql: str | None = None):
     def register(plan: Callable[[Tables], DataFrame]):
         QUERIES[plan.__name__] = lambda spark, folder: plan(Tables(spark, folder))

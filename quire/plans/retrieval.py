@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import fulltext, quotes
 from quire.operators import relational as rel
 from quire.operators import search as s
-from quire.plans.registry import Tables, query
+from quire.plans.registry import Tables, query, spread
+from quire.sources.readers import exists
+from quire.sources.scratch import path_of, shared_dir
 
 TEXT = tx.FOLD_SQL.format("text")
 TOKENS = f"regexp_extract_all({TEXT}, '[\\p{{L}}\\p{{N}}]+')"
@@ -37,13 +42,42 @@ def _rounded(hits: DataFrame) -> DataFrame:
 @query(_bm25_sql(["thing", "hand", "est"], 10))
 def bm25_topk(t: Tables) -> DataFrame:
     """Full-text ranking of the documents that hold all words."""
-    return _rounded(s.bm25(t.documents, "doc_id", "text", "thing hand est", 10))
+    return _rounded(s.bm25(spread(t.documents), "doc_id", "text", "thing hand est", 10))
 
 
 @query(_bm25_sql(["thing", "qqzznone"], 10))
 def bm25_and_or_fallback(t: Tables) -> DataFrame:
     """no document holds all words, so any will do."""
-    return _rounded(s.bm25(t.documents, "doc_id", "text", "thing qqzznone", 10))
+    return _rounded(s.bm25(spread(t.documents), "doc_id", "text", "thing qqzznone", 10))
+
+
+PHRASE = ["the", "and"]
+_PAIRS = f"len(list_filter(range(1, len(t)), lambda i: t[i] = '{PHRASE[0]}' AND t[i + 1] = '{PHRASE[1]}'))"
+
+
+def _index(t: Tables) -> str:
+    """The stored index of the documents: built when first asked for, and kept as long as the table stays as it is and the
+    driver runs."""
+    table, system = path_of(t.spark, f"{t.folder}/documents.parquet")
+    state = f"{t.folder} {system.getContentSummary(table).getLength()} {system.getFileStatus(table).getModificationTime()}"
+    path = f"{shared_dir(t.spark)}/quire/fulltext-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+    if not exists(t.spark, f"{path}/totals/_SUCCESS"):
+        fulltext.build(spread(t.documents.select("doc_id", "text")), "doc_id", "text", path)
+        stored, _ = path_of(t.spark, path)
+        system.deleteOnExit(stored)
+    return path
+
+
+@query(_bm25_sql(["thing", "hand", "est"], 10))
+def bm25_stored(t: Tables) -> DataFrame:
+    """The same ranking from a stored index: only the postings of the query's terms are read."""
+    return _rounded(fulltext.search(t.spark, _index(t), "doc_id", "thing hand est", 10))
+
+
+@query(_bm25_sql(["thing"], 10).replace("len(list_filter(t, lambda x: x = 'thing')) AS f0", f"{_PAIRS} AS f0, len(list_filter(t, lambda x: x = '{PHRASE[0]}')) AS unused"))
+def bm25_stored_phrase(t: Tables) -> DataFrame:
+    """A quoted phrase, from the positions that the index stores."""
+    return _rounded(fulltext.search(t.spark, _index(t), "doc_id", f'"{PHRASE[0]} {PHRASE[1]}"', 10))
 
 
 @query(f"""
@@ -98,7 +132,7 @@ def cosine_topk_prefilter(t: Tables) -> DataFrame:
 
 
 def _candidates(t: Tables) -> tuple[DataFrame, DataFrame]:
-    text = s.bm25(t.documents, "doc_id", "text", "thing hand est", 20)
+    text = s.bm25(spread(t.documents), "doc_id", "text", "thing hand est", 20)
     return text, s.nearest(t.embeddings, _query_vector(t), "vec_id", "embedding", 20).withColumnRenamed("vec_id", "doc_id")
 
 
@@ -131,7 +165,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS n FROM r)
 SELECT min(doc_id) AS doc_id, count(*) AS copies, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n BETWEEN 2 AND 4), '') AS also_in FROM n GROUP BY g""")
 def near_dup_collapse(t: Tables) -> DataFrame:
     """One row for texts that open alike, with where else they occur."""
-    return s.collapse_copies(t.documents.select("doc_id", "text"), "text", "doc_id", ["doc_id"]).select("doc_id", "copies", "also_in")
+    return s.collapse_copies(spread(t.documents.select("doc_id", "text")), "text", "doc_id", ["doc_id"]).select("doc_id", "copies", "also_in")
 
 
 @query("""
@@ -143,15 +177,24 @@ def exact_hash_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_partkey, p_name, p_type, CASE WHEN lower(p_name) = 'red ring' THEN 1 WHEN contains(lower(p_name), 'red ring') THEN 2 WHEN contains(lower(p_type), 'red ring') THEN 3
-  WHEN contains(lower(p_name), 'ring') THEN 4 END AS tier FROM part)
-SELECT p_partkey, p_name, 'exact' AS how FROM r WHERE tier = 1 ORDER BY p_name, p_partkey LIMIT 15""")
+WITH r AS (SELECT p_partkey, p_name, CASE WHEN p_name = 'red ring' THEN 'exact' WHEN contains(p_name, 'ring') THEN 'in name' WHEN p_type = 'PROMO' THEN 'in body' END AS how FROM part WHERE p_size <= 12)
+SELECT p_partkey, p_name, how FROM r WHERE how IS NOT NULL""")
 def tiered_lookup(t: Tables) -> DataFrame:
-    """Exact names come first."""
-    found = s.tiered(t.part, "p_name", "p_type", "red ring", "p_partkey", 15)
+    """Exact names first, then names that hold the query, then bodies that do."""
+    rows = t.part.where("p_size <= 12").select("p_partkey", F.when(F.col("p_name") == "red ring", "Ring").otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_type") == "PROMO", "a RING set").otherwise("none").alias("body"), "p_name")
+    found = s.tiered(rows, "name", "body", "ring", "p_partkey", 1_000_000_000)
     return found.select("p_partkey", "p_name", F.when(F.col("tier") == 1, "exact").when(F.col("tier") == 2, "in name").otherwise("in body").alias("how"))
 
 
+@query("""
+WITH r AS (SELECT p_partkey, p_name, CASE WHEN p_name = 'red ring' THEN 1 WHEN contains(p_name, 'ring') THEN 2 ELSE 3 END AS tier FROM part WHERE p_size = 7 AND (contains(p_name, 'ring') OR p_type = 'PROMO'))
+SELECT p_partkey, tier FROM r ORDER BY tier, CASE WHEN p_name = 'red ring' THEN 'Ring' ELSE p_name END, p_partkey LIMIT 12""")
+def tiered_top(t: Tables) -> DataFrame:
+    """The first dozen over all tiers."""
+    rows = t.part.where("p_size = 7").select("p_partkey", F.when(F.col("p_name") == "red ring", "Ring").otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_type") == "PROMO", "a RING set").otherwise("none").alias("body"))
+    return s.tiered(rows, "name", "body", "ring", "p_partkey", 12).select("p_partkey", "tier")
+
+
 @query("""
 WITH c AS (SELECT *, greatest(score, 0) AS s FROM (SELECT v.vec_id, """ + COSINE + """ AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q))
 SELECT CASE WHEN score >= 0.3 THEN 'near' WHEN score >= 0 THEN 'some' ELSE 'away' END AS band, count(*) AS n FROM c GROUP BY 1""")
@@ -182,13 +225,6 @@ def keyword_coverage(t: Tables) -> DataFrame:
 GRAM = 8
 
 
-def _grams(rows: DataFrame, id: str) -> DataFrame:
-    words = rows.select(id, F.filter(F.split(tx.squash(F.col("text")), " "), lambda w: w != "").alias("w"))
-    n = F.size("w") - GRAM + 1
-    grams = F.transform(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(GRAM)), " ")))
-    return words.select(id, F.explode(F.array_distinct(grams)).alias("gram"))
-
-
 _SQUASH = f"trim(regexp_replace({TEXT}, '[^a-z0-9]+', ' ', 'g'))"
 _GRAMS_SQL = f"SELECT DISTINCT {{id}}, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram FROM (SELECT {{id}}, w, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM (SELECT {{id}}, list_filter(string_split({_SQUASH}, ' '), lambda x: x <> '') AS w FROM {{table}}))"
 
@@ -199,32 +235,23 @@ n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
 SELECT b.item_id, d.doc_id, count(*) AS shared, round(count(*) / any_value(n.n), 6) AS share FROM b JOIN d ON b.gram = d.gram JOIN n ON n.item_id = b.item_id GROUP BY 1, 2""")
 def contamination_ngrams(t: Tables) -> DataFrame:
     """F25 as a semi-join: which documents share runs of words with which benchmark items, and how much of them."""
-    b, d = _grams(t.benchmark, "item_id"), _grams(t.documents, "doc_id")
+    b, d = quotes.grams(t.benchmark, "item_id", "text", GRAM), quotes.grams(spread(t.documents), "doc_id", "text", GRAM)
     n = b.groupBy(F.col("item_id").alias("i")).agg(F.count("*").alias("n"))
     shared = b.join(d, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     return shared.join(n, F.col("item_id") == F.col("i")).select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
 
 
 @query(f"""
-WITH b AS ({_GRAMS_SQL.format(id="item_id", table="benchmark")}), d AS ({_GRAMS_SQL.format(id="doc_id", table="documents")}),
-c AS (SELECT DISTINCT item_id, doc_id FROM b JOIN d ON b.gram = d.gram)
-SELECT c.item_id, c.doc_id FROM c JOIN (SELECT item_id, {_SQUASH} AS q FROM benchmark) q ON q.item_id = c.item_id JOIN (SELECT doc_id, {_SQUASH} AS s FROM documents) s ON s.doc_id = c.doc_id
-WHERE length(q.q) >= 8 AND (contains(s.s, q.q) OR (length(q.q) // 3 >= 4 AND contains(s.s, substr(q.q, 1, length(q.q) // 3))::INTEGER
-  + contains(s.s, substr(q.q, length(q.q) // 3 + 1, length(q.q) // 3))::INTEGER + contains(s.s, substr(q.q, 2 * (length(q.q) // 3) + 1, length(q.q) // 3))::INTEGER >= 2))""")
+WITH b AS (SELECT item_id, {_SQUASH} AS q, length({_SQUASH}) // 3 AS n FROM benchmark), d AS (SELECT doc_id, {_SQUASH} AS s FROM documents)
+SELECT item_id, doc_id FROM b JOIN d ON length(q) >= 8 AND (contains(s, q) OR (n >= 4 AND contains(s, substr(q, 1, n))::INTEGER + contains(s, substr(q, n + 1, n))::INTEGER + contains(s, substr(q, 2 * n + 1, n))::INTEGER >= 2))""")
 def quote_grounding(t: Tables) -> DataFrame:
-    """benchmark items that a document holds whole or in two of three thirds; shared runs of words find the pairs."""
-    from quire.operators.validate import grounded
-
-    pairs = _grams(t.benchmark, "item_id").join(_grams(t.documents, "doc_id"), "gram").select("item_id", "doc_id").distinct()
-    quotes = t.benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("quote"))
-    docs = t.documents.select(F.col("doc_id").alias("d"), F.col("text").alias("body"))
-    rows = pairs.join(quotes, F.col("item_id") == F.col("i")).join(docs, F.col("doc_id") == F.col("d"))
-    return rows.where(grounded(F.col("quote"), F.col("body"))).select("item_id", "doc_id")
+    """benchmark items that a document holds whole or in two of three thirds."""
+    return quotes.grounded_in(t.benchmark, "item_id", "text", spread(t.documents), "doc_id", "text")
 
 
 @query()
 def fuzzy_cascade(t: Tables) -> DataFrame:
-    """Names resolved exactly, by the only prefix, or by the only alike name."""
+    """Names resolved exactly, by the only prefix, or by the only alike name."""
     from quire.operators.segment import resolve_ids
 
     known = t.part.select(F.col("p_name").alias("entry")).distinct()

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import new_path
 from quire.streaming import incremental
 
 
-def _scratch(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{shared}/quire/stream-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 def run_seen_keys(spark: SparkSession, folder: str) -> DataFrame:
-    scratch = _scratch(spark)
+    scratch = new_path(spark, "stream")
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     # A pattern, as a plain path would have to be a folder; the table may also be a single file.
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
@@ -29,7 +20,7 @@ def run_seen_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    scratch, source = _scratch(spark), f"{folder}/pages.parquet"
+    scratch, source = new_path(spark, "stream"), f"{folder}/pages.parquet"
     schema = spark.read.parquet(source).schema
     for _ in range(2):  # the second sweep finds nothing new
         incremental.sweep(spark, f"{folder}/pages.parque[t]", schema, f"{scratch}/out", f"{scratch}/state", work=lambda s: s.select("page_id", "url")).awaitTermination()

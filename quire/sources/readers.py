@@ -182,3 +182,47 @@ class _PagedReader(DataSourceReader):
         for page in range(partition.value[0], partition.value[1] + 1):
             for record in self.fetch(page):
                 yield page, json.dumps(record, ensure_ascii=False)
+
+
+class HttpListing(PagedListing):
+    """Batch source ``http_listing``: the same over HTTP, one partition a run of pages.
+
+    Options: ``url`` with ``{page}`` in it, ``pages``, ``per_partition``, ``field`` (where the records are, if not at the root),
+    ``tries``, ``wait`` (seconds before the second try; each next one waits twice as long), ``timeout``, ``headers`` (JSON).
+    A page that is not there (404, 410) has no rows; one that cannot be had after all tries fails the task, which Spark runs anew.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_listing"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _HttpReader(self.options)
+
+
+class _HttpReader(_PagedReader):
+    def __init__(self, options: dict):
+        super().__init__({"path": "", **options})
+        self.url, self.field, self.headers = options["url"], options.get("field"), json.loads(options.get("headers", "{}"))
+        self.tries, self.wait, self.timeout = int(options.get("tries", 4)), float(options.get("wait", 1)), float(options.get("timeout", 30))
+
+    def fetch(self, page: int) -> list:
+        import time
+        import urllib.error
+        import urllib.request
+
+        for attempt in range(self.tries):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url.format(page=page), headers=self.headers), timeout=self.timeout) as answer:
+                    records = json.load(answer)
+                return records[self.field] if self.field else records
+            except urllib.error.HTTPError as e:
+                if e.code in (404, 410):
+                    return []
+                if attempt + 1 == self.tries or (e.code < 500 and e.code != 429):
+                    raise
+            except (urllib.error.URLError, TimeoutError):
+                if attempt + 1 == self.tries:
+                    raise
+            time.sleep(self.wait * 2**attempt)
+        return []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,8 @@ def unseen(batch: DataFrame, seen: DataFrame, key: str, order: list[str]) -> Dat
 
 
 def seen_key_stream(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Each key once within ``delay``: state is one key, and goes when the watermark passes it."""
+    """Each key once within ``delay``: state is one key, and goes when the watermark passes it.  A key that comes again later
+    passes again; :func:`unseen_stream` lets it pass once for ever."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -35,22 +36,76 @@ def windowed_counts(stream: DataFrame, time: str, delay: str, width: str, keys:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def resume_index(stream: DataFrame, index: str, checkpoint: str, key: str, version: str, collection: str) -> StreamingQuery:
-    """Keeps an index folder current: rows whose version is known are reused, changed ones replaced, per collection."""
+#: Folders of an index are named by this.
+GENERATION = "generation"
+
+
+def current(spark: SparkSession, index: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The rows of an index as it is, or was before a generation: of each key the latest, without those that were taken out."""
     from quire.sources.readers import exists
-    from quire.sources.sinks import by_collection
 
-    def merge(batch: DataFrame, _: int) -> None:
+    if not exists(spark, index):
+        return None
+    rows = spark.read.option("mergeSchema", "true").parquet(index)
+    rows = rows if before is None else rows.where(F.col(GENERATION) < before)
+    latest = rows.groupBy(F.col(key).alias("__key")).agg(F.max(GENERATION).alias("__latest"))
+    # Keys are unique within a generation.
+    return rows.join(latest, (F.col(key) == F.col("__key")) & (F.col(GENERATION) == F.col("__latest"))).where("NOT __gone").drop("__key", "__latest", "__gone")
+
+
+def put(spark: SparkSession, index: str, batch: DataFrame, key: str, version: str, generation: int, order: list[str] | None = None) -> DataFrame | None:
+    """Writes what is new or changed of a batch as a generation of its own, and returns the index before it.
+
+    A generation reads only earlier ones and replaces only itself, so an attempt that failed or is made again, and a lost
+    executor, change nothing that anything reads.  Rows whose version is known stay where they are; of repeated keys in a batch
+    the last in ``order`` (the version, if none is given) counts; rows without a key are left out.
+    """
+    last = F.struct(*(order or [version]), *(c for c in batch.columns if c not in (order or [version])))
+    one = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*batch.columns), last).alias("r")).select("r.*")
+    old = current(spark, index, key, generation)
+    if old is not None:
+        known = old.select(F.col(key).alias("__key"), F.col(version).alias("__version"))
+        one = one.join(known, (F.col(key) == F.col("__key")) & F.col(version).eqNullSafe(F.col("__version")), "left_anti")
+    one.withColumn("__gone", F.lit(False)).write.mode("overwrite").parquet(f"{index}/{GENERATION}={generation}")
+    return old
+
+
+def resync(spark: SparkSession, index: str, listing: DataFrame, key: str, version: str, generation: int) -> None:
+    """Brings an index up to a full listing: as :func:`put`, and keys that are no longer listed are taken out."""
+    old = put(spark, index, listing, key, version, generation)
+    if old is not None:
+        gone = old.join(listing.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
+        gone.drop(GENERATION).withColumn("__gone", F.lit(True)).write.mode("append").parquet(f"{index}/{GENERATION}={generation}")
+
+
+def _first_generation(spark: SparkSession, index: str, checkpoint: str) -> int:
+    """The generation of a stream's first batch: after all that were there when the stream first began."""
+    from quire.sources.readers import exists
+    from quire.sources.scratch import write_text
+
+    note = f"{checkpoint}-first-generation"
+    if not exists(spark, note):
+        there = spark.read.parquet(index).agg(F.max(GENERATION)).first()[0] if exists(spark, index) else None
+        write_text(spark, note, str(0 if there is None else there + 1))
+    return int(spark.read.text(note).first()[0])
+
+
+def resume_index(stream: DataFrame, index: str, checkpoint: str, key: str, version: str, order: list[str] | None = None) -> StreamingQuery:
+    """Keeps an index current: each batch is a generation; a batch that is run again after a failure replaces its own."""
+    first = _first_generation(stream.sparkSession, index, checkpoint)
+    merge = lambda batch, n: put(batch.sparkSession, index, batch, key, version, first + n, order) and None
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def unseen_stream(stream: DataFrame, index: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
+    """Each key once for ever: the first row of a key is kept with its batch, and later ones are known by it."""
+    first = _first_generation(stream.sparkSession, index, checkpoint)
+
+    def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        if exists(spark, index):
-            old = spark.read.parquet(index)
-            touched = batch.select(F.col(collection).alias("__c")).distinct()
-            old = old.join(touched, F.col(collection) == F.col("__c"), "left_semi").join(batch.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
-            batch = batch.unionByName(old.select(*batch.columns))
-            # Read before it is overwritten.
-            batch = batch.checkpoint() if spark.sparkContext.getCheckpointDir() else batch.persist()
-            batch.count()
-        by_collection(batch, index, collection)
+        seen = current(spark, index, key, first + n)
+        new = unseen(batch, seen if seen is not None else batch.limit(0), key, order)
+        new.withColumn("__gone", F.lit(False)).write.mode("overwrite").parquet(f"{index}/{GENERATION}={first + n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -109,17 +109,21 @@ def test_ranking_ignores_partitions(spark, sf_dir):
     assert [(r.doc_id, round(r.score, 9)) for r in one] == [(r.doc_id, round(r.score, 9)) for r in many]
 
 
-def test_stored_index_ranks_alike(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from quire.operators import search
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = search.postings(docs, "doc_id", "text")
-    stats = index.groupBy("doc_id").agg(F.first("len").alias("len")).agg(F.lit(docs.count()).alias("n_docs"), (F.sum("len") / docs.count()).alias("avg_len"))
-    stored = search.bm25_from_postings(index, stats, "doc_id", "thing", 5).collect()
-    direct = search.bm25(docs, "doc_id", "text", "thing", 5).collect()
-    assert [(r.doc_id, round(r.score, 9)) for r in stored] == [(r.doc_id, round(r.score, 9)) for r in direct]
+def test_stored_index_ranks_alike(spark, sf_dir, tmp_path):
+    """Words, phrases (one that overlaps itself too), the fall-back, and words that no document holds; null texts count."""
+    from quire.operators import fulltext, search
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "the the the and the"), (10**6 + 2, "")], "doc_id long, text string"))
+    path = f"{tmp_path}/index"
+    fulltext.build(docs, "doc_id", "text", path)
+    fulltext.build(docs.limit(1), "doc_id", "text", path)  # an index that is there stays
+    for q in ("thing", "thing hand est", '"the and"', '"the the" and', "thing qqzznone", "qqzznone", "de"):
+        one = search.bm25(docs, "doc_id", "text", q, 8).collect()
+        two = fulltext.search(spark, path, "doc_id", q, 8).collect()
+        assert [(r.doc_id, round(r.score, 9), r.matched) for r in two] == [(r.doc_id, round(r.score, 9), r.matched) for r in one], q
+    read = spark.read.parquet(f"{path}/postings")
+    assert len(read.inputFiles()) > 20 and len(read.where("bucket = 3").inputFiles()) <= len(read.inputFiles())
 
 
 def test_entry(spark):

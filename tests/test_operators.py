@@ -142,10 +142,10 @@ def test_acts_from_pages(spark):
     stamped = segment.fill_stamps(segment.read_stamps(pages.where("volume = 'v1'")), ["page"])
     got = {r.page: r for r in stamped.collect()}
     assert got[4].stamp == "1234567" and got[4].inherited and got[3].ocr and got[2].signer == "ANA" and got[1].stamp is None
-    grouped = segment.group_acts(stamped, ["page"])
+    grouped = segment.group_acts(stamped, ["page"], ["volume"])
     # Page 3 reads an alike id under the same signature and is not page 1: one act; page 5 is page 1 of its document.
     assert rows(grouped, "page", "act") == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 3)]
-    acts = {r.act: r for r in segment.assemble_acts(grouped.withColumn("volume", F.lit("v1")), "volume", []).collect()}
+    acts = {r.act: r for r in segment.assemble_acts(grouped, "volume", []).collect()}
     assert acts[2].id == "1234567" and acts[2].variants == ["1234568"] and acts[2].date == D(2024, 3, 2) and "id read in variants" in acts[2].warnings
     assert acts[3].date is None and "unreadable date" in acts[3].warnings and "Num." not in acts[2].text and acts[1].id is None
 
@@ -310,3 +310,62 @@ def test_ledger(spark):
     assert rows(vol, "id", "headers", "ordinals_ok", "thin") == [(1, 2, "no", True), (2, 0, "none", True)]
     price = spark.range(1).select(ledger.cost(F.lit(1_000_000), F.lit(500_000), 3.0, 15.0).alias("c"), ledger.route(F.lit("x" * 100), 10).alias("r")).first()
     assert tuple(price) == (10.5, "remote")
+
+
+def test_alike_ids_same_as_all_pairs(spark):
+    """Ids misread anywhere, of different lengths, and with repeated characters: no alike pair is missed."""
+    import difflib
+    import random
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(3, 16))) for _ in range(120)] + ["1111111111", "1212121212", "11", "1", "12"]
+    def misread(x):
+        x = list(x)
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", "7", "55"])
+        return "".join(x)
+    asked = sorted({misread(x) for x in base + base if x} - {""})
+    known = sorted(set(base))
+    got = {(r.id, r.entry) for r in segment._pairs_alike(spark.createDataFrame([(x,) for x in asked], "id string"), spark.createDataFrame([(x,) for x in known], "entry string"), "id", "entry", 0.85).collect()}
+    alike = {(a, k) for a in asked for k in known if a != k and difflib.SequenceMatcher(None, a, k).ratio() >= 0.85}
+    assert len(alike) > 50 and alike <= got and len(got) < 0.5 * len(asked) * len(known)
+    want = {}
+    for a in asked:
+        starts = [k for k in known if k.startswith(a) or a.startswith(k)]
+        near = [k for k in known if (a, k) in alike]
+        if a in known:
+            want[a] = (a, "exact")
+        elif len(starts) == 1:
+            want[a] = (starts[0], "prefix")
+        elif len(near) == 1:
+            want[a] = (near[0], "fuzzy")
+    out = segment.resolve_ids(spark.createDataFrame([(x,) for x in asked], "id string"), spark.createDataFrame([(x,) for x in known], "entry string"), "id", "entry")
+    assert {r.id: (r.entry, r.how) for r in out.collect()} == want and len({h for _, h in want.values()}) == 3
+    read = spark.createDataFrame([("x1", ["zz", "555"]), ("555", ["777"])], "id string, other array<string>")
+    assert rows(segment.resolve_ids(read, spark.createDataFrame([("555",), ("777",)], "entry string"), "id", "entry", variants="other"), "id", "entry", "how") == [("555", "555", "exact"), ("x1", "555", "variant")]
+
+
+def test_quotes_same_as_all_pairs(spark):
+    """Short and long quotations, whole, with one third altered, and cut inside words."""
+    import random
+
+    from quire.operators import quotes
+
+    rng = random.Random(2)
+    words = ["lei", "a", "de", "processo", "réu", "prova", "testemunha", "e", "foi", "acórdão", "no", "x"]
+    docs = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) for _ in range(60)] + ["", None]
+    asked = []
+    for d in docs[:50]:
+        at, n = rng.randrange(max(1, len(d) - 10)), rng.choice([8, 9, 11, 13, 20, 40, 90])
+        q = d[at : at + n]
+        if rng.random() < 0.5:
+            third = len(q) // 3
+            i = rng.randrange(3)
+            q = q[: third * i] + "zz " * (third // 3) + q[third * (i + 1) :]
+        asked.append(q)
+    asked += ["curto", "lei de a", None, "xxxxxxxxxxxxxxxx"]
+    a, b = spark.createDataFrame(list(enumerate(asked)), "q int, quote string"), spark.createDataFrame(list(enumerate(docs)), "d int, body string")
+    want = a.join(b).where(validate.grounded(F.col("quote"), F.col("body"))).select("q", "d")
+    got = quotes.grounded_in(a, "q", "quote", b, "d", "body")
+    assert rows(got, "q", "d") == rows(want, "q", "d") and got.count() > 40

@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 import io
 import json
@@ -152,16 +153,25 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 
 def test_windows_and_resumed_index(spark, tmp_path):
     schema = "k string, v string, c string"
-    spark.createDataFrame([("1", "a", "x"), ("2", "b", "x"), ("3", "c", "y")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    put = lambda folder, data: spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{folder}")
+    put(1, [("1", "a", "x"), ("2", "b", "x"), ("3", "c", "y")])
 
-    def run():
+    def run(checkpoint="ck"):
         s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        incremental.resume_index(s, f"{tmp_path}/index", f"{tmp_path}/ck", "k", "v", "c").awaitTermination()
-        return rows(spark.read.parquet(f"{tmp_path}/index"), "k", "v", "c")
-
-    assert run() == [("1", "a", "x"), ("2", "b", "x"), ("3", "c", "y")]
-    spark.createDataFrame([("2", "B", "x"), ("4", "d", "x")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
-    assert run() == [("1", "a", "x"), ("2", "B", "x"), ("3", "c", "y"), ("4", "d", "x")]
+        incremental.resume_index(s, f"{tmp_path}/index", f"{tmp_path}/{checkpoint}", "k", "v").awaitTermination()
+        return rows(incremental.current(spark, f"{tmp_path}/index", "k"), "k", "v", "c", "generation")
+
+    assert run() == [("1", "a", "x", 0), ("2", "b", "x", 0), ("3", "c", "y", 0)]
+    # A new version, a key that moves to another collection, a known version, a key that is repeated in the batch.
+    put(2, [("2", "bb", "x"), ("3", "d", "x"), ("1", "a", "z"), ("4", "d", "x"), ("4", "e", "x"), (None, "n", "x")])
+    # An attempt that died half-way has left something behind.
+    spark.createDataFrame([("9", "z", "x", False)], schema + ", __gone boolean").write.parquet(f"{tmp_path}/index/generation=1")
+    assert run() == [("1", "a", "x", 0), ("2", "bb", "x", 1), ("3", "d", "x", 1), ("4", "e", "x", 1)]
+    # The same files read anew, as after a lost checkpoint, change nothing but come after what is there.
+    again = run("other")
+    assert [r[:3] for r in again] == [("1", "a", "x"), ("2", "bb", "x"), ("3", "d", "x"), ("4", "e", "x")]
+    incremental.resync(spark, f"{tmp_path}/index", spark.createDataFrame([("1", "a", "x"), ("5", "f", "y")], schema), "k", "v", 9)
+    assert rows(incremental.current(spark, f"{tmp_path}/index", "k"), "k", "v") == [("1", "a"), ("5", "f")]
     stages = spark.createDataFrame([("a", 5, 6), ("b", 7, 6), ("c", 1, None)], "s string, i int, o int")
     assert rows(incremental.stale(stages, "i", "o"), "s") == [("b",), ("c",)]
     events = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "e") for m in (1, 2, 7)], "ts timestamp, k string")
@@ -171,3 +181,38 @@ def test_windows_and_resumed_index(spark, tmp_path):
 
 def test_text_of_notes_has_a_hook(spark):
     assert spark.range(1).select(tx.first_useful_line(F.lit("---\n# T\n\n> q\nprimeira **linha**")).alias("h")).first().h == "primeira linha"
+
+
+def test_listing_over_http(spark):
+    """Pages come with a failure before them, one is missing, and the records lie below the root."""
+    import http.server
+    import json
+    import threading
+
+    from quire.sources import readers
+
+    seen = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            page = int(self.path.split("=")[1])
+            seen[page] = seen.get(page, 0) + 1
+            code = 503 if seen[page] == 1 else 404 if page == 3 else 200
+            body = json.dumps({"itens": [{"id": page * 10 + i} for i in range(2)]}).encode() if code == 200 else b""
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(readers.HttpListing)
+    read = lambda **more: spark.read.format("http_listing").options(url=f"http://127.0.0.1:{server.server_port}/list?page={{page}}", field="itens", wait="0.01", per_partition="2", **more).load()
+    got = rows(read(pages="5"), "page", "record")
+    assert got == [(p, json.dumps({"id": p * 10 + i})) for p in (1, 2, 4, 5) for i in range(2)]
+    seen.clear()
+    with pytest.raises(Exception, match="503"):
+        read(pages="1", tries="1").collect()
+    server.shutdown()
