@@ -11,8 +11,10 @@ Steps
   3. Half-keys that one class alone has are dropped, the rest are paired to table keys; tables with the same members count once.
   4. Within a table, members whose signatures agree on at least ``LEAST_AGREE`` of 56 places (a pair at 0.75 misses that with
      probability 1e-7) are joined to candidate clusters.  Each table gives a star for each cluster, never its pairs.
-  5. Within a candidate cluster all pairs that may still join two components are verified on full sets.  Clusters and
-     tables beyond a size are cut into tiles, and pairs of tiles go to different tasks: no member and no pair is left out.
+  5. Within a candidate cluster all pairs that may still join two components are verified on full sets.  Tables and clusters
+     beyond a size are cut into tiles.  First each member meets a few pivots; members that the best pivot links are in one
+     component, so pairs among them are settled.  Only the rest meets all tiles: no pair that matters is left out, and copies
+     of members grow with the number of those that no pivot links, not with the square of a cluster.
   6. Components of the verified links.
 
 Defined results
@@ -43,6 +45,8 @@ LEAST_AGREE = 24
 PERCENT = 75
 #: Members of a tile of a table, and members and shingles of a tile of a candidate cluster.
 TABLE_TILE, CLUSTER_TILE, SHINGLES_TILE = 2000, 1000, 2_000_000
+#: Members that all others of a large table or cluster are compared with first.
+PIVOTS = 4
 
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -231,17 +235,89 @@ def _cluster_work(rows: list) -> Iterator[tuple[int, int]]:
     return linked(ids, side, [np.frombuffer(r[4], np.uint64) for r in rows], rows[0][3])
 
 
-def _cells(members: DataFrame, key: Column, tiles: Column, data: str) -> DataFrame:
-    """A row for each cell that a member takes part in: all pairs of tiles that hold its tile, one cell if there is one tile."""
-    tile = F.pmod(F.xxhash64("id", "n_shingles"), F.col("tiles")).cast("int")
-    rows = members.withColumn("tiles", tiles).withColumn("side", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cell = F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other"))
-    # A cell of two tiles compares across them; a tile's own pairs are compared in its own cell.
-    own = F.col("side") == F.col("other")
-    cells = rows.select(cell.alias("cell"), "id", "side", (~own).alias("cross"), F.col(data).alias("data"))
+def _alike_signatures(pivot: bytes, others: list[bytes]) -> np.ndarray:
+    sigs = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), HASHES)
+    return (sigs == np.frombuffer(pivot, np.uint8)).sum(1) >= LEAST_AGREE
+
+
+def _linked_sets(pivot: bytes, others: list[bytes]) -> np.ndarray:
+    own = np.frombuffer(pivot, np.uint64)
+    sizes = np.array([len(o) // 8 for o in others])
+    hit = np.concatenate([[0], np.cumsum(np.isin(np.frombuffer(b"".join(others), np.uint64), own))])
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return 100 * both >= PERCENT * (len(own) + sizes - both)
+
+
+def _by_pivots(close: Callable) -> Callable:
+    """(key, pivot, member) of the links that ``close`` finds in each run of rows of one cell.  Columns: cell, key, id, pivot, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished(rows: list) -> pa.RecordBatch:
+            out, members = [], [r for r in rows if not r[3]]
+            for _, key, pivot, is_pivot, data in rows:
+                if is_pivot and members:
+                    out += [(key, pivot, members[i][2]) for i in np.flatnonzero(close(data, [m[4] for m in members])).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["key", "pivot", "member"])
+
+        hold("near_dedup", _POWERS.reset)
+        cell, rows = None, []
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != cell:
+                    if (out := finished(rows)).num_rows:
+                        yield out
+                    cell, rows = row[0], []
+                rows.append(row)
+        if (out := finished(rows)).num_rows:
+            yield out
+
+    return run
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
+def tiled_links(members: DataFrame, any_large: bool, work: Callable, close: Callable) -> DataFrame:
+    """Stars (a, b) that connect the members of each key as all their links do; ``members`` has key, id, n_shingles, tiles, data.
+
+    A key of one tile is one cell.  Of the others every member first meets the pivots of its key, tile by tile; those that
+    the best pivot links need no comparison with each other.
+    """
+    none = F.lit(False)
+    members = materialise(members, "members") if any_large else members
+    single = members.where("tiles = 1").select(F.xxhash64("key").alias("cell"), "id", F.lit(0).alias("side"), none.alias("cross"), "data")
+    stars = "a long, b long"
+    out = _dealt(single).mapInArrow(_by_cell(work), stars)
+    if not any_large:
+        return out.distinct()
+    large = members.where("tiles > 1")
+    tile = lambda of: F.pmod(F.xxhash64("id", "n_shingles"), of).cast("int")
+    pivots = large.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(PIVOTS)))).alias("p"))
+    pivots = materialise(pivots.select(F.col("key").alias("pk"), F.explode("p").alias("pid")), "pivots")
+    own = large.select(F.xxhash64("key", tile(F.col("tiles"))).alias("cell"), "key", "id", none.alias("pivot"), "data")
+    copied = large.join(pivots, (F.col("key") == F.col("pk")) & (F.col("id") == F.col("pid"))).select("key", "id", "data", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    copied = copied.select(F.xxhash64("key", "t").alias("cell"), "key", "id", F.lit(True).alias("pivot"), "data")
+    linked_ = materialise(_dealt(own.unionByName(copied)).mapInArrow(_by_pivots(close), "key long, pivot long, member long"), "pivot-links")
+    counts = linked_.groupBy("key", "pivot").agg(F.count("*").alias("n"))
+    best = counts.groupBy(F.col("key").alias("bk")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("bp"))
+    settled = linked_.join(best, (F.col("key") == F.col("bk")) & (F.col("pivot") == F.col("bp"))).select(F.col("key").alias("sk"), F.col("member").alias("sid"))
+    marked = large.join(settled, (F.col("key") == F.col("sk")) & (F.col("id") == F.col("sid")), "left").withColumn("rest", F.col("sid").isNull()).drop("sk", "sid")
+    marked = materialise(marked, "marked")
+    share = marked.groupBy(F.col("key").alias("rk")).agg((F.count_if("rest") / F.count("*")).alias("share")).where("share > 0")
+    marked = marked.join(share, F.col("key") == F.col("rk")).withColumn("rests", F.ceil(F.col("share") * F.col("tiles")).cast("int"))
+    to = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1)).alias("other")
+    # Cells of two tiles of the rest, or of one and one of the settled; a tile's own pairs are compared in its own cell.
+    rest = marked.where("rest").withColumn("side", tile(F.col("rests")))
+    among = rest.select("*", to("rests")).select(F.xxhash64("key", F.lit("rest"), F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "id", "side", (F.col("side") != F.col("other")).alias("cross"), "data")
+    across = rest.select("*", to("tiles")).select(F.xxhash64("key", F.lit("settled"), "side", "other").alias("cell"), "id", F.lit(0).alias("side"), F.lit(True).alias("cross"), "data")
+    against = marked.where("NOT rest").withColumn("own", tile(F.col("tiles"))).select("*", to("rests")).select(F.xxhash64("key", F.lit("settled"), "other", "own").alias("cell"), "id", F.lit(1).alias("side"), F.lit(True).alias("cross"), "data")
+    more = _dealt(among.unionByName(across).unionByName(against)).mapInArrow(_by_cell(work), stars)
+    pivoted = linked_.where("pivot <> member").select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b"))
+    return out.unionByName(pivoted).unionByName(more).distinct()
+
+
 def candidate_edges(classes: DataFrame, tile: int = TABLE_TILE) -> DataFrame:
     """Stars (a, b) of ids whose signatures agree within some table."""
     halves = classes.select("id", "n_shingles", F.posexplode("keys").alias("place", "half"))
@@ -251,10 +327,11 @@ def candidate_edges(classes: DataFrame, tile: int = TABLE_TILE) -> DataFrame:
     keyed = own.select("id", F.explode("first").alias("h1"), "second").select("id", "h1", F.explode("second").alias("h2")).select("id", F.xxhash64("h1", "h2").alias("table"))
     keyed = materialise(keyed, "tables")
     tables = keyed.groupBy("table").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("members"))
-    once = tables.where("lo < hi").groupBy("n", "lo", "hi", "members").agg(F.min("table").alias("table")).select("table", "n")
+    once = tables.where("lo < hi").groupBy("n", "lo", "hi", "members").agg(F.min("table").alias("table"))
+    once = materialise(once.select("table", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "distinct-tables")
     members = keyed.join(once, "table").join(classes.select("id", "n_shingles", "sig"), "id")
-    cells = _cells(members, F.col("table"), F.ceil(F.col("n") / tile).cast("int"), "sig")
-    return cells.mapInArrow(_by_cell(_table_work), "a long, b long").distinct()
+    members = members.select(F.col("table").alias("key"), "id", "n_shingles", "tiles", F.col("sig").alias("data"))
+    return tiled_links(members, not once.where("tiles > 1").isEmpty(), _table_work, _alike_signatures)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +346,13 @@ def verified_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, til
     """Stars (a, b) of ids that links on full sets connect; ``clusters`` has node, root."""
     sized = clusters.join(classes.select(F.col("id").alias("node"), "n_shingles"), "node")
     sizes = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    tiles = sizes.select("root", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("s") / shingles_tile)).cast("int").alias("tiles"))
+    tiles = materialise(sizes.select("root", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("s") / shingles_tile)).cast("int").alias("tiles")), "sizes")
     nodes = clusters.join(tiles, "root").select("node", F.col("root").alias("cluster"), "tiles")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     rows = texts.join(nodes, F.col("id") == F.col("node")).select("id", "cluster", "tiles", "text")
     sets = rows.mapInArrow(_sets, "id long, cluster long, tiles int, n_shingles long, shingles binary").where("n_shingles > 0")
-    return _cells(sets, F.col("cluster"), F.col("tiles"), "shingles").mapInArrow(_by_cell(_cluster_work), "a long, b long").distinct()
+    members = sets.select(F.col("cluster").alias("key"), "id", "n_shingles", "tiles", F.col("shingles").alias("data"))
+    return tiled_links(members, not tiles.where("tiles > 1").isEmpty(), _cluster_work, _linked_sets)
 
 
 def assign(docs: DataFrame, table_tile: int = TABLE_TILE, cluster_tile: int = CLUSTER_TILE) -> DataFrame:

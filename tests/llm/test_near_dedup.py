@@ -98,3 +98,31 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert got == {x: find(x) for x in root}
+
+
+def test_copies_of_members_do_not_grow_with_the_square_of_a_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        own[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    far = [f"y{j}" for j in range(45)]
+    rows += [(1000 + i, " ".join(base[:155] + far[: 45 - i] + [f"z{i}{j}" for j in range(i)])) for i in range(3)]
+    dealt, seen = nd._dealt, []
+
+    def counted(cells):
+        seen.append(cells.count())
+        return dealt(cells)
+
+    monkeypatch.setattr(nd, "_dealt", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = nd.describe(df).withColumnRenamed("doc_id", "id")
+    one = classes.selectExpr("id AS node", "0L AS root")
+    links = nd.verified_edges(df, classes, one, tile=25)
+    found = {r.node: r.root for r in components.connected_components(links).collect()}
+    want, _ = brute(rows)
+    assert {i: found.get(i, i) for i in want} == want
+    tiles = 17
+    assert sum(seen) < 3 * len(rows) + nd.PIVOTS * tiles < len(rows) * tiles / 4
