@@ -51,3 +51,17 @@ def test_spans_and_bands():
     assert scanner.scan("nothing of this kind here at all") == []
     least = min(np.ceil(0.75 * len(s)) / (1.5 * c + len(s) - np.ceil(0.75 * len(s))) for c, m in scanner.classes.items() for s in [scanner.sets[i][1] for i in m])
     assert (1 - least) ** scanner.bands <= ls.MISS
+
+
+def test_each_template_is_its_own_licence():
+    """Whole licences, also in capitals, among other words, and with a word in ten altered."""
+    scanner = ls.Scanner(ls.TEMPLATES)
+    assert len(ls.TEMPLATES) >= 20
+    for name, texts in ls.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            for version in (text, f"some words before {text.upper()} and some behind"):
+                assert {x[0] for x in scanner.scan(version)} == {name}, (name, version)
+            if len(words) > 60:
+                damaged = " ".join("zzz" if i % 40 == 20 else w for i, w in enumerate(words))
+                assert name in {x[0] for x in scanner.scan(damaged)}, name
