@@ -98,7 +98,7 @@ def procedure_of(cover: Column) -> Column:
 
 def radar(acts: DataFrame, rules: DataFrame, cal: DataFrame, kind: str, date: str, as_of: datetime.date) -> DataFrame:
     """A row for each act and rule (kind, piece, days), with its due date and status."""
-    rows = deadline(acts.join(F.broadcast(rules), acts[kind] == rules["kind"]).drop(rules["kind"]), cal, date, "days")
+    rows = deadline(acts.join(rules, acts[kind] == rules["kind"]).drop(rules["kind"]), cal, date, "days")
     left = F.datediff("due", F.lit(as_of))
     status = F.when(F.col(date).isNull(), "no date").when(F.col("days") == 0, None).when(left < 0, "overdue").otherwise(F.format_string("%d days left", left))
     return rows.withColumn("status", status)

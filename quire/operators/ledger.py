@@ -39,7 +39,7 @@ def bands(text: Column, limits: list[int]) -> Column:
 def tasks(acts: DataFrame, extractors: DataFrame, kind: str, text: str) -> DataFrame:
     """Acts with every extractor whose kinds hold theirs and whose pattern, if it has one, occurs in their text."""
     by_kind = extractors.select("extractor", F.explode("kinds").alias("__kind"), "pattern")
-    return acts.join(F.broadcast(by_kind), F.col(kind) == F.col("__kind")).where(F.col("pattern").isNull() | F.expr(f"{text} RLIKE pattern")).drop("__kind", "pattern")
+    return acts.join(by_kind, F.col(kind) == F.col("__kind")).where(F.col("pattern").isNull() | F.expr(f"{text} RLIKE pattern")).drop("__kind", "pattern")
 
 
 def uncached(work: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

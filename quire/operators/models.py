@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import text as tx
+
 
 def embed(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], size: int, batch: int = 16, tries: int = 3) -> DataFrame:
     """``rows`` with ``vector`` (null on failure) and ``error``."""
@@ -59,3 +61,33 @@ def extract(acts: DataFrame, text: str, model: Callable[[str], str], schema: str
 
     out = acts.withColumn("raw", run(F.col(text)))
     return out.withColumn("record", F.from_json(repair_json(F.col("raw")), schema))
+
+
+def call_tiered(rows: DataFrame, prompt: str, tiers: list[tuple[str, Callable[[str], str], float, float]], dry_run: bool = False) -> DataFrame:
+    """``rows`` and tier, answer, errors, tokens_in, tokens_out, cost: the first tier that answers, in order; what failed before
+    it is kept.  ``tiers`` are (name, model, price in, price out) by the million tokens.  A dry run calls nobody and prices the
+    first tier's question."""
+    from quire.operators.ledger import cost
+
+    @F.pandas_udf("struct<tier:string,answer:string,errors:array<string>>")
+    def call(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            errors, got = [], (None, None)
+            for name, model, *_ in [] if dry_run or text is None else tiers:
+                try:
+                    got = name, model(text)
+                    break
+                except Exception as e:  # noqa: BLE001  whatever a model raises is that tier's failure
+                    errors.append(f"{name}: {e}")
+            out.append((*got, errors))
+        return pd.DataFrame(out, columns=["tier", "answer", "errors"])
+
+    called = rows.withColumn("__c", call(prompt)).select(*rows.columns, "__c.*")
+    if dry_run:
+        called = called.withColumn("tier", F.lit(tiers[0][0]))
+    called = called.withColumns({"tokens_in": tx.token_estimate(F.coalesce(prompt, F.lit(""))), "tokens_out": tx.token_estimate(F.coalesce("answer", F.lit("")))})
+    price = F.lit(0.0)
+    for name, _, a, b in tiers:
+        price = F.when(F.col("tier") == name, cost(F.col("tokens_in"), F.col("tokens_out"), a, b)).otherwise(price)
+    return called.withColumn("cost", price)

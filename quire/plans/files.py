@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators import models, pdf
 from quire.plans.registry import Tables, query
 from quire.sources import readers, sinks
-from quire.sources.scratch import new_path, write_text
+from quire.sources.scratch import lock, new_path, unlock, write_text
 from quire.streaming import incremental
 
 _CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal FROM customer"
@@ -182,3 +186,90 @@ def seen_keys_for_ever(t: Tables) -> DataFrame:
     for _ in range(2):
         incremental.unseen_stream(stream(), out, state, "user_id", ["event_id"]).awaitTermination()
     return incremental.current(t.spark, out, "user_id").select("user_id")
+
+
+# PDF, models, deliveries ----------------------------------------------------------------------------------------------------
+
+
+def _pdf(pages: list[str], deflate: bool) -> bytes:
+    """A small PDF with a page for each text, its lines moved down one by one."""
+    import zlib
+
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % (b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))), len(pages)), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"}
+    for i, text in enumerate(pages):
+        show = b" ".join(b"(%s) Tj 0 -14 Td" % re.sub(rb"([()\\\\])", rb"\\\1", line.encode("cp1252")) for line in text.split("\n") if line)
+        content = b"BT /F1 12 Tf 72 720 Td " + show + b" ET"
+        packed = zlib.compress(content) if deflate else content
+        bodies[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        bodies[11 + 2 * i] = b"<< /Length %d%s >>\nstream\n" % (len(packed), b" /Filter /FlateDecode" if deflate else b"") + packed + b"\nendstream"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in bodies.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@query("""
+SELECT p_partkey AS id, unnest(CASE WHEN p_partkey % 10 = 9 THEN [NULL] ELSE [1, 2, 3] END) AS page, unnest(CASE WHEN p_partkey % 10 = 9 THEN [NULL] ELSE ['Página (1) é ' || p_name || chr(10) || p_brand, '', 'fim ' || p_size] END) AS text,
+  unnest(CASE WHEN p_partkey % 10 = 9 THEN [NULL] ELSE [false, true, false] END) AS empty, p_partkey % 10 = 9 AS failed FROM part""")
+def pdf_pages(t: Tables) -> DataFrame:
+    """The text layer of PDF files, empty pages told apart, a file that is none as a row with its error."""
+    @F.pandas_udf("binary")
+    def made(id: pd.Series, name: pd.Series, brand: pd.Series, size: pd.Series) -> pd.Series:
+        rows = zip(id, name, brand, size)
+        return pd.Series([b"none" if i % 10 == 9 else _pdf([f"Página (1) é {n}\n{b}", "", f"fim {z}"], i % 2 == 0) for i, n, b, z in rows])
+
+    files = t.part.select(F.col("p_partkey").alias("id"), made("p_partkey", "p_name", "p_brand", "p_size").alias("content"))
+    return pdf.pages(files, "id", "content").select("id", "page", "text", "empty", F.col("error").isNotNull().alias("failed"))
+
+
+def _cheap(prompt: str) -> str:
+    if "7" in prompt:
+        raise ValueError("too hard")
+    return prompt.upper()
+
+
+@query("""
+WITH c AS (SELECT p_partkey AS id, p_name || ' ' || p_size AS q, CASE WHEN contains(p_size::VARCHAR, '7') THEN 'dear' ELSE 'cheap' END AS tier FROM part)
+SELECT id, tier, CASE WHEN tier = 'cheap' THEN upper(q) ELSE q END AS answer, CASE WHEN tier = 'dear' THEN ['cheap: too hard'] ELSE [] END AS errors,
+  round((length(q) // 3) * CASE WHEN tier = 'cheap' THEN 1000 + 2000 ELSE 30000 + 60000 END / 1e6, 4) AS cost FROM c""")
+def models_in_tiers(t: Tables) -> DataFrame:
+    """The first model that answers, what failed before it, and what it cost."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("q"))
+    tiers = [("cheap", _cheap, 1000.0, 2000.0), ("dear", str, 30000.0, 60000.0)]
+    return models.call_tiered(rows, "q", tiers).select("id", "tier", "answer", "errors", "cost")
+
+
+@query("SELECT n_nationkey AS id, 2 AS rows_logged FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_nationkey % 5 > 0")
+def deliveries_resumed(t: Tables) -> DataFrame:
+    """Each row sent once over two attempts; the first of them fails for some, and only these are sent again."""
+    log, rows = new_path(t.spark, "deliveries"), t.nation.select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+
+    def fails(record: dict) -> None:
+        if record["id"] % 5 == 0:
+            raise OSError("not now")
+
+    sinks.deliver(rows, "id", fails, log)
+    done = sinks.deliver(rows, "id", lambda record: None, log)
+    return done.groupBy("id").agg(F.count("*").cast("int").alias("rows_logged"))
+
+
+@query("SELECT p_partkey AS id, '[\"' || p_name || '\", ' || p_size || ']' AS registry, NULL::VARCHAR AS computed FROM part")
+def registries_read(t: Tables) -> DataFrame:
+    """A literal that a module's source assigns, read without running it; what would have to be computed is not read."""
+    source = F.concat(F.lit("import os\nREGISTRY = ['"), F.col("p_name"), F.lit("', "), F.col("p_size").cast("string"), F.lit("]\nOTHER: list = os.listdir('.')\n"))
+    return t.part.select(F.col("p_partkey").alias("id"), readers.registry_literal(source, "REGISTRY").alias("registry"), readers.registry_literal(source, "OTHER").alias("computed"))
+
+
+@query("SELECT r_regionkey, r_name, 'ok, error' AS outcomes, true AS first, false AS second, true AS released FROM region")
+def mirrors_and_locks(t: Tables) -> DataFrame:
+    """Rows mirrored to several targets, a broken one reported; a lock that only one holds."""
+    target, held = new_path(t.spark, "mirror"), new_path(t.spark, "lock")
+    done = sinks.mirror(t.region, [target, "nosuchscheme://x/y"])
+    outcomes = ", ".join(x.split(":")[0] for x in done.values())
+    first, second = lock(t.spark, held, "a", 600), lock(t.spark, held, "b", 600)
+    released = not unlock(t.spark, held, "b") and unlock(t.spark, held, "a")
+    return t.spark.read.parquet(target).withColumns({"outcomes": F.lit(outcomes), "first": F.lit(first), "second": F.lit(second), "released": F.lit(released)}).select("r_regionkey", "r_name", "outcomes", "first", "second", "released")
+
+
+@query("SELECT '<tr><td>' || r_regionkey || '</td><td>' || r_name || ' &amp; &lt;co></td></tr>' AS value FROM region")
+def catalogue_pages(t: Tables) -> DataFrame:
+    """A catalogue page with a row for each entry and its own search."""
+    page = sinks.html_catalogue(t.region.select("r_regionkey", F.concat("r_name", F.lit(" & <co>")).alias("name")), ["r_regionkey", "name"], "Regions")
+    return page.where("value LIKE '<tr>%'")

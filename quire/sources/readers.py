@@ -9,6 +9,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,3 +227,29 @@ class _HttpReader(_PagedReader):
                     raise
             time.sleep(self.wait * 2**attempt)
         return []
+
+
+@F.pandas_udf(T.StringType())
+def _literal(source: pd.Series, name: pd.Series) -> pd.Series:
+    import ast
+
+    def one(text: str | None, wanted: str) -> str | None:
+        try:
+            tree = ast.parse(text or "")
+        except SyntaxError:
+            return None
+        for node in tree.body:
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+            if any(isinstance(t, ast.Name) and t.id == wanted for t in targets):
+                try:
+                    return json.dumps(ast.literal_eval(node.value), ensure_ascii=False)
+                except (ValueError, TypeError):
+                    return None
+        return None
+
+    return pd.Series([one(s, n) for s, n in zip(source, name)], dtype=object)
+
+
+def registry_literal(source: Column, name: str) -> Column:
+    """The value that a module's source assigns to a name, as JSON; the source is read, never run.  Anything else is null."""
+    return _literal(source, F.lit(name))

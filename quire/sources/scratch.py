@@ -40,3 +40,30 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = system.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def lock(spark: SparkSession, path: str, owner: str, stale_seconds: float) -> bool:
+    """Takes a collection's lock: a file that only one can create.  A lock that was not renewed for so long is taken over."""
+    p, system = path_of(spark, path)
+    for _ in range(2):
+        try:
+            out = system.create(p, False)
+            out.write(bytearray(owner.encode()))
+            out.close()
+            return True
+        except Exception as e:  # noqa: BLE001  the JVM's own kinds of "it is there" differ by file system
+            if not system.exists(p):
+                raise RuntimeError(f"cannot lock {path}") from e
+        age = spark.sparkContext._jvm.java.lang.System.currentTimeMillis() - system.getFileStatus(p).getModificationTime()
+        if age < stale_seconds * 1000:
+            return False
+        system.delete(p, False)
+    return False
+
+
+def unlock(spark: SparkSession, path: str, owner: str) -> bool:
+    """Gives a lock back, if it is still the owner's."""
+    p, system = path_of(spark, path)
+    if not system.exists(p) or spark.read.text(path).first()[0] != owner:
+        return False
+    return bool(system.delete(p, False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,64 @@ def upsert(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
     a = known.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in known.columns if c != key))
     out = new.join(a, F.col(key) == F.col("__k"), "full_outer")
     return out.select(F.coalesce(key, "__k").alias(key), *(F.coalesce(c, f"__{c}").alias(c) for c in known.columns if c != key))
+
+
+def mirror(rows: DataFrame, targets: list[str], format: str = "parquet") -> dict[str, str]:
+    """Writes the same rows to several places; a target that cannot be written does not keep the others from it.  What became
+    of each: ok, or its error."""
+    out = {}
+    for target in targets:
+        try:
+            rows.write.mode("overwrite").format(format).save(target)
+            out[target] = "ok"
+        except Exception as e:  # noqa: BLE001  a broken target is reported, not fatal
+            out[target] = f"error: {str(e).splitlines()[0]}"
+    return out
+
+
+def html_catalogue(rows: DataFrame, columns: list[str], title: str) -> DataFrame:
+    """value: lines of a page with a row for each entry, and a box that hides the rows that do not hold what is typed."""
+    escape = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    cells = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escape(F.col(c)), F.lit("</td>")) for c in columns), F.lit("</tr>"))
+    script = "for(const r of document.querySelectorAll('tbody tr'))r.hidden=!r.textContent.toLowerCase().includes(this.value.toLowerCase())"
+    head = f'<!DOCTYPE html><meta charset="utf-8"><title>{title}</title><input oninput="{script}"><table><thead><tr>' + "".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>"
+    ends = rows.sparkSession.createDataFrame([(0, head), (2, "</tbody></table>")], "part int, value string")
+    return ends.unionByName(rows.select(F.lit(1).alias("part"), cells.alias("value"))).orderBy("part", "value").select("value")
+
+
+def deliver(rows: DataFrame, key: str, send: Callable[[dict], None], log: str, full: type[Exception] = MemoryError) -> DataFrame:
+    """Sends each row once, over any number of attempts: keys that the log holds as sent are left out, and each attempt appends
+    its outcomes (key, outcome: sent, failed or stopped).  When a target says that it is full, the partition sends no more.
+
+    A row is logged after it was sent, so one whose task dies in between is sent again: targets take a key twice.
+    """
+    from quire.sources.readers import exists
+
+    spark = rows.sparkSession
+    if exists(spark, log):
+        sent = spark.read.parquet(log).where("outcome = 'sent'").select(F.col(key).alias("__sent"))
+        rows = rows.join(sent, F.col(key) == F.col("__sent"), "left_anti")
+
+    def run(batches):
+        stopped = False
+        for batch in batches:
+            outcome = []
+            for record in batch.to_dict("records"):
+                if not stopped:
+                    try:
+                        send(record)
+                        outcome.append("sent")
+                        continue
+                    except full:
+                        stopped = True
+                    except Exception:  # noqa: BLE001  one row's failure is that row's outcome
+                        outcome.append("failed")
+                        continue
+                outcome.append("stopped")
+            yield batch[[key]].assign(outcome=outcome)
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([rows.schema[key], T.StructField("outcome", T.StringType())])
+    rows.mapInPandas(run, schema).write.mode("append").parquet(log)
+    return spark.read.schema(schema).parquet(log)

@@ -216,3 +216,49 @@ def test_listing_over_http(spark):
     with pytest.raises(Exception, match="503"):
         read(pages="1", tries="1").collect()
     server.shutdown()
+
+
+def test_pdf_text_layers():
+    import zlib
+
+    from quire.operators import pdf
+    from quire.plans.files import _pdf
+
+    assert pdf.read_pages(_pdf(["a (b) \\ c\nsecond", "", "três"], True)) == (["a (b) \\ c\nsecond", "", "três"], None)
+    # Fonts with a map from codes to text, kerning as spaces, hexadecimal strings, objects inside a stream of objects.
+    codes = b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <01> <00E7> endbfchar 1 beginbfrange <41> <43> <0061> endbfrange"
+    inner = [(5, b"<< /Type /Pages /Kids [7 0 R] /Count 1 >>"), (7, b"<< /Type /Page /Parent 5 0 R /Resources << /Font << /F1 8 0 R >> >> /Contents [9 0 R 10 0 R] >>")]
+    bodies = b" ".join(b for _, b in inner)
+    head = b"5 0 7 %d " % (len(inner[0][1]) + 1)
+    packed = zlib.compress(head + bodies)
+    parts = {
+        1: b"<< /Type /Catalog /Pages 5 0 R >>", 2: b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(head), packed), 8: b"<< /Type /Font /ToUnicode 11 0 R >>",
+        9: b"<< >>\nstream\nBT /F1 9 Tf [(A) -20 (B) -300 <4301>] TJ T* (C) ' ET\nendstream", 10: b"<< /Filter /DCTDecode >>\nstream\nxx\nendstream", 11: b"<< >>\nstream\n" + codes + b"\nendstream",
+    }
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in parts.items())
+    assert pdf.read_pages(data) == (["ab cç\nc"], None)
+    assert pdf.read_pages(None) == ([], "no file") and pdf.read_pages(b"x")[1] == "not a PDF file" and pdf.read_pages(b"%PDF-1.4 /Encrypt 3 0 R")[1] == "encrypted"
+
+
+def test_deliveries_stop_when_a_target_is_full(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x") for i in range(10)], "k long, v string").coalesce(1).sortWithinPartitions("k")
+
+    def send(record):
+        if record["k"] == 2:
+            raise OSError
+        if record["k"] >= 5:
+            raise MemoryError
+
+    log = f"{tmp_path}/log"
+    assert rows(sinks.deliver(df, "k", send, log), "k", "outcome") == [(k, "failed" if k == 2 else "sent" if k < 5 else "stopped") for k in range(10)]
+    again = sinks.deliver(df, "k", lambda record: None, log)
+    assert again.where("outcome = 'sent'").count() == 10 and again.groupBy("k").count().where("count > 2").count() == 0
+
+
+def test_locks(spark, tmp_path):
+    from quire.sources import scratch
+
+    path = f"{tmp_path}/lock"
+    assert scratch.lock(spark, path, "a", 60) and not scratch.lock(spark, path, "b", 60)
+    assert scratch.lock(spark, path, "b", -1) and not scratch.unlock(spark, path, "a") and scratch.unlock(spark, path, "b")
+    assert scratch.lock(spark, path, "c", 60)
