@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.relational import at_most
-from quire.operators.spans import outside, spans
+from quire.operators.spans import spans
 
 # Names as citations write them, without marks.
 COURTS = ["STJ", "STF", "TST", "TSE"]
@@ -108,24 +108,30 @@ def without_marks(text: Column) -> Column:
     return F.translate(text, tx.FOLD_FROM, tx.FOLD_TO)
 
 
-def find(drafts: DataFrame, id: str, text: str, forms: list[Form] | None = None) -> DataFrame:
-    """id, kind, start, end, match, number, scope, part of every citation that is not part of another one.
+def find(drafts: DataFrame, id: str, text: str, forms: list[Form] | None = None, matches: bool = False) -> DataFrame:
+    """id, kind, start, end, number, scope, part (and match, if asked for) of every citation that is not part of another one.
 
     Scope is the court, the law, the class or the volume; part the state, or a page.  A form that names the source first
-    stands beside the plain form that it holds.
+    stands beside the plain form that it holds.  ``matches`` reads the texts once more, as citations are found without marks.
     """
     forms = FORMS if forms is None else forms
     found = spans(drafts, id, without_marks(F.col(text)), {f"{f.kind} {i}": f.pattern for i, f in enumerate(forms)}, 3)
-    # The place of a group depends on the form: a short list, read row by row.
-    value = lambda field: F.coalesce(*(F.when(F.col("kind") == f"{f.kind} {i}", F.col(f"g{getattr(f, field)}")) for i, f in enumerate(forms) if getattr(f, field)), F.lit(None).cast("string"))
-    fields = {name: F.nullif(F.trim(value(name)), F.lit("")) for name in ("number", "scope", "part")}
+    # The place of a group depends on the form: a table with the group of each field.
+    place = lambda field: F.element_at(F.array(*(F.lit(getattr(f, field)) for f in forms)), F.substring_index("kind", " ", -1).cast("int") + 1)
+    group = F.array(F.lit(None).cast("string"), F.col("g1"), F.col("g2"), F.col("g3"))
+    fields = {name: F.nullif(F.trim(F.get(group, place(name))), F.lit("")) for name in ("number", "scope", "part")}
     found = found.withColumns(fields).withColumn("kind", F.substring_index("kind", " ", 1)).select(id, "kind", "start", "end", *fields)
-    free = found.where(~F.col("kind").isin(list(WITHIN)))
-    for kind, outer in WITHIN.items():
-        free = free.unionByName(outside(found.where(F.col("kind") == kind), found.where(F.col("kind").isin(outer)), id))
+    # The end of what began before a citation, by the kinds that may hold it: one pass over a document's citations.
+    so_far = Window.partitionBy(id).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    inside = F.lit(False)
+    for i, (kind, outer) in enumerate(WITHIN.items()):
+        found = found.withColumn(f"__{i}", F.max(F.when(F.col("kind").isin(outer), F.col("end"))).over(so_far))
+        inside = inside | ((F.col("kind") == kind) & (F.coalesce(f"__{i}", F.lit(0)) > F.col("start")))
+    rows = found.where(~inside).drop(*(f"__{i}" for i in range(len(WITHIN))))
+    if not matches:
+        return rows
     original = drafts.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
-    rows = free.join(original, F.col(id) == F.col("__id"))
-    return rows.select(id, "kind", "start", "end", F.substring("__text", F.col("start"), F.col("end") - F.col("start")).alias("match"), *fields)
+    return rows.join(original, F.col(id) == F.col("__id")).select(*rows.columns, F.substring("__text", F.col("start"), F.col("end") - F.col("start")).alias("match"))
 
 
 #: Hits of a citation in the collections that are shown.

@@ -177,7 +177,7 @@ def test_packing_sections_articles(spark):
 def test_spans_and_citations(spark):
     text = "Ver Súmula Vinculante 11 e Súmula 7/STJ; art. 33 da Lei 11.343/06 e HC 123.456. [ID 1234567 | v1 p. 3] fls. 10-12, ID 7654321"
     df = spark.createDataFrame([(1, text), (2, None)], "id int, t string")
-    got = citations.find(df, "id", "t").collect()
+    got = citations.find(df, "id", "t", matches=True).collect()
     kinds = {(r.kind, r.number) for r in got}
     assert ("BINDING", "11") in kinds and ("PRECIS", "7") in kinds and ("ARTICLE", "33") in kinds and ("PRECEDENT", "123.456") in kinds and ("ACT_ID", "7654321") in kinds and ("ANCHOR", "1234567") in kinds
     assert ("PRECIS", "11") not in kinds and ("ACT_ID", "1234567") not in kinds and ("ACT_PAGE", "3") not in kinds and ("ACT_PAGE", "10") in kinds
