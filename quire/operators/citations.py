@@ -47,6 +47,8 @@ def _maybe(*parts: str) -> str:
 _GAP = r"\s*"
 _SIGN = _maybe("n", "[.º°o]{0,2}", _GAP)
 _LAW = f"(?:{_names(LAWS)}|Lei{_GAP}{_SIGN}" + r"[0-9]{1,2}\.?[0-9]{3}(?:/[0-9]{2,4})?)"
+#: Topics and cases are numbered on without end; dots part their thousands.
+_NUMBER = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+(?![0-9])"
 _ARTICLE_NUMBER = r"[0-9]{1,4}(?:-[A-Z](?![A-Za-z]))?"
 #: What may stand between an article's number and its law: its paragraphs, items and letters.
 _SUBDIVISION = "(?:" + "|".join([r"§{1,2}\s*[0-9]+\s*[ºo°]?", r"paragrafo\s+unico", "caput", r"(?:inc(?:iso)?\.?\s*)?[IVXLC]+", r"alinea\s+[a-z]"]) + r")(?![a-z])"
@@ -84,14 +86,14 @@ FORMS = [
     _form("BINDING", _WORD, _names(["Sumula Vinculante", "SV"]), _GAP, _SIGN, _group(_digits(3))),
     _form("PRECIS", _WORD, "Sumula", _GAP, _SIGN, _group(_digits(4)), _belongs(COURTS), r"(?!\s*Vinculante)", scope=2),
     _form("PRECIS", _WORD, _group(_names(HIGH_COURTS)), _GAP, ",?", _GAP, "Sumula", _GAP, _SIGN, _group(_digits(4)), number=2, scope=1),
-    _form("TOPIC", _WORD, "Tema", _GAP, _maybe(r"de\s+repercussao\s+geral", _GAP), _SIGN, _group(rf"[0-9]{{1,2}}\.[0-9]{{3}}|{_digits(5)}"), _belongs(HIGH_COURTS), scope=2),
+    _form("TOPIC", _WORD, "Tema", _GAP, _maybe(r"de\s+repercussao\s+geral", _GAP), _SIGN, _group(_NUMBER), _belongs(HIGH_COURTS), scope=2),
     _form(
         "ARTICLE", _WORD, _names(ARTICLE_WORDS), r"\.?", _GAP, _group(_ARTICLE_NUMBER), "(?![0-9])", r"\s*[º°]?", f"(?:{_GAP},?{_GAP}{_SUBDIVISION}){{0,3}}",
         _maybe(_GAP, ",?", _GAP, _maybe("d[aoe]s?", _GAP), _group(_LAW), "(?![A-Za-z])"), scope=2,
     ),
     _form("ARTICLE", _WORD, _group(_LAW), r"\s*,\s*", _names(ARTICLE_WORDS), r"\.?", _GAP, _group(_ARTICLE_NUMBER), "(?![0-9])", number=2, scope=1),
     _form(
-        "PRECEDENT", _WORD, _group(_maybe(_names(APPEALS), r"\s+n[oa]s?\s+") + _names(CLASSES)), r"\.?", _GAP, _SIGN, _group(r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{4,7}"), "(?![0-9])",
+        "PRECEDENT", _WORD, _group(_maybe(_names(APPEALS), r"\s+n[oa]s?\s+") + _names(CLASSES)), r"\.?", _GAP, _SIGN, _group(r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{4,}"), "(?![0-9])",
         _maybe(r"\s*[-/]\s*", _group("[A-Z]{2}"), "(?![A-Za-z])"), number=2, scope=1, part=3,
     ),
     _form("BULLETIN", _WORD, _names(["Informativo", "Inf"]), r"\.?", _GAP, _SIGN, _group(_digits(4)), _belongs(HIGH_COURTS), scope=2),

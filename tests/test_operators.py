@@ -221,6 +221,16 @@ def test_margins_and_penalties(spark):
     assert [m for _, m in rows(got, "i", "m")] == list(cases.values())
 
 
+def test_citations_of_numbers_of_any_length(spark):
+    cases = [
+        ("o Tema 100000 do STF.", ("TOPIC", "100000", "STF")), ("Tema 1.234.567/STJ", ("TOPIC", "1.234.567", "STJ")), ("Tema 12345678", ("TOPIC", "12345678", None)),
+        ("HC 12345678/SP", ("PRECEDENT", "12345678", "HC")), ("REsp 12.345.678", ("PRECEDENT", "12.345.678", "REsp")),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert rows(citations.find(df, "i", "t"), "i", "kind", "number", "scope") == [(i, *want) for i, (_, want) in enumerate(cases)]
+
+
+
 def test_verification_has_more_than_two_outcomes(spark):
     cited = spark.createDataFrame([(1, "PRECIS", "7", "STJ", None), (2, "PRECIS", "7", None, None), (3, "PRECIS", "99", "STJ", None), (4, "PRECIS", "8", "STF", None), (5, "TOPIC", "1", "STF", None), (6, "PRECIS", "9", "STJ", "texto que nada tem a ver com a fonte citada"), (7, "PRECIS", "9", "STJ", "a fonte diz exatamente isto")], "n int, kind string, number string, scope string, quote string")
     sources = spark.createDataFrame([("PRECIS", "7", "stj", "a", False), ("PRECIS", "7", "stf", "b", False), ("PRECIS", "8", "stf", "c", True), ("PRECIS", "9", "stj", "a fonte diz exatamente isto aqui", False)], "kind string, key string, scope string, body string, cancelled boolean")
