@@ -230,6 +230,23 @@ def test_citations_of_numbers_of_any_length(spark):
     assert rows(citations.find(df, "i", "t"), "i", "kind", "number", "scope") == [(i, *want) for i, (_, want) in enumerate(cases)]
 
 
+def test_tiers_without_a_limit(spark):
+    """All rows of all tiers, in order, and no room set aside in a task for a largest number of them."""
+    names = ["Ring", "ring x", "a ring", "none", "RING", "other"]
+    df = spark.createDataFrame([(i, names[i % 6], "a RING set" if i % 12 == 5 else "") for i in range(60)], "i int, n string, b string").repartition(5)
+    tier = lambda i: 1 if names[i % 6].lower() == "ring" else 2 if i % 6 in (1, 2) else 3
+    want = sorted((tier(i), names[i % 6], i) for i in range(60) if i % 6 != 3 and (i % 6 != 5 or i % 12 == 5))
+    got = search.tiered(df, "n", "b", "ring", "i", None)
+    assert [(r.tier, r.n, r.i) for r in got.collect()] == want
+    assert [(r.tier, r.n, r.i) for r in search.tiered(df, "n", "b", "ring", "i", 7).collect()] == want[:7]
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_look_up_has_no_limit(spark, sf_dir):
+    from quire.plans import catalogue
+
+    assert "Limit" not in catalogue.queries()["tiered_lookup"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
 
 def test_verification_has_more_than_two_outcomes(spark):
     cited = spark.createDataFrame([(1, "PRECIS", "7", "STJ", None), (2, "PRECIS", "7", None, None), (3, "PRECIS", "99", "STJ", None), (4, "PRECIS", "8", "STF", None), (5, "TOPIC", "1", "STF", None), (6, "PRECIS", "9", "STJ", "texto que nada tem a ver com a fonte citada"), (7, "PRECIS", "9", "STJ", "a fonte diz exatamente isto")], "n int, kind string, number string, scope string, quote string")
