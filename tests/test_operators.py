@@ -221,6 +221,15 @@ def test_margins_and_penalties(spark):
     assert [m for _, m in rows(got, "i", "m")] == list(cases.values())
 
 
+def test_penalties_read_the_words_once(spark):
+    """Values that are named often, and inside lambdas, are evaluated once a row, not once a use."""
+    cases = {"Pena - reclusão, de dois a doze anos.\nParágrafo único. detenção, de um a dois meses": 144, "detenção, de 3 (três) meses a 12 (doze) meses": 12, "reclusão, de um ano": None, "reclusão, de 99999999999 a trinta anos": None, "": None, "\n\n": None, "detenção": None, "reclusão, de um ano a xyz anos": None}
+    got = spark.createDataFrame([*enumerate(cases), (99, None)], "i int, t string").select("i", extract.maximum_penalty(F.col("t")).alias("m"))
+    assert [m for _, m in rows(got, "i", "m")] == [*cases.values(), None]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
 def test_citations_of_numbers_of_any_length(spark):
     cases = [
         ("o Tema 100000 do STF.", ("TOPIC", "100000", "STF")), ("Tema 1.234.567/STJ", ("TOPIC", "1.234.567", "STJ")), ("Tema 12345678", ("TOPIC", "12345678", None)),
