@@ -34,6 +34,9 @@ PIECE = 1 << 16
 #: Members of a group of copies that share one copy of the row that stays.
 MEMBERS_PER_SALT = 2000
 
+#: Bits that say which ids may be among some.  64 of them are a row, so that at most 2^18 rows are broadcast, whatever the table.
+MARKS = 1 << 24
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -120,6 +123,20 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 PRINT = ["h1", "h2", "n_bytes"]
 
 
+def marked(rows: DataFrame, ids: DataFrame, id: str = "doc_id", marks: int = MARKS) -> DataFrame:
+    """``rows`` with __marked: false only where the id is not among ``ids`` (column id).  Neither side's texts are moved for it.
+
+    Ids that share a bit are marked as well, so what is marked is joined with the ids themselves; the table of bits stays as
+    small as it is, and in a collection with more ids than bits, all of them are marked.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(marks))
+    bit = lambda c: slot(c).bitwiseAND(63).cast("int")
+    words = ids.select(F.shiftright(slot("id"), 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit("id")).alias("bit"))
+    words = words.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    found = rows.join(F.broadcast(words), F.shiftright(slot(id), 6) == F.col("__word"), "left")
+    return found.withColumn("__marked", F.coalesce(F.getbit("__bits", bit(id)) == 1, F.lit(False))).drop("__word", "__bits")
+
+
 def differing(docs: DataFrame, prints: DataFrame, piece: int = PIECE, members_per_salt: int = MEMBERS_PER_SALT) -> DataFrame:
     """doc_id, text_sha256 of rows whose fingerprint equals that of their group's first row, but not their text.
 
@@ -132,12 +149,14 @@ def differing(docs: DataFrame, prints: DataFrame, piece: int = PIECE, members_pe
     members = prints.join(groups, PRINT).select("doc_id", "text_sha256", *PRINT, "first", "salts").distinct()
     leads = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_sha256") == F.col("first.text_sha256"))
     salt = F.when(leads, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "text_sha256"), F.col("salts")).cast("int")))
-    # Written, so that the planner sees how few they are: while they fit a broadcast, only their own texts are shuffled.
     members = materialise(members.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), *PRINT, leads.alias("leads"), salt.alias("salt")), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    # Only texts that may be a member's are read closely and shuffled.
+    of_members = marked(docs.select("doc_id", "text"), members.select("id")).where("__marked")
+    texts = of_members.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
     # Repeated rows of one id and text need one comparison: the join on both keeps them apart from other texts of that id.
     # Null-safe on both, or the planner would hash every text once more to find that its hash is not null.
-    rows = texts.join(members, F.col("text_sha256").eqNullSafe(F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    # Merged at every size, as a group's texts meet below in any case: members are a share of the table, not a fixed number.
+    rows = texts.join(members.hint("merge"), F.col("text_sha256").eqNullSafe(F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")))
     # Neither array is ever empty; an inner explode would have the planner ask for that before the join, text by text.
     rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", F.explode_outer("salt").alias("salt"), _pieces(F.col("norm"), piece).alias("pieces"))
     rows = rows.select("doc_id", "text_sha256", *PRINT, "leads", "salt", F.explode_outer("pieces").alias("x")).select("*", "x.no", "x.piece").drop("x")
@@ -164,17 +183,18 @@ def assign(docs: DataFrame, huge: int = HUGE, piece: int = PIECE, members_per_sa
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated equal rows with one id, one stays.
 
-    Only what goes, and what is repeated, is joined with the rows: ids and hashes, which are broadcast while they are few.
+    Only rows whose id may be one that goes, or is repeated, are joined with these; all others pass as the scan reads them.
     """
     decided = assign(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__rows"))
     special = materialise(decided.where("NOT __kept OR (__rows > 1 AND __id IS NOT NULL)").select("__id", "__sha", "__kept"), "special")
-    rows = docs.withColumn("__text_sha", F.sha2(normalised(), 256))
+    split = marked(docs, special.select(F.col("__id").alias("id")))
+    rows = split.where("__marked").drop("__marked").withColumn("__text_sha", F.sha2(normalised(), 256))
     of = F.col("__text_sha").eqNullSafe(F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     out = rows.join(special, of, "left_anti")
     repeated = special.where("__kept")
     if not repeated.isEmpty():
         out = out.unionByName(rows.join(repeated, of, "left_semi").dropDuplicates(["doc_id", "__text_sha"]))
-    return out.drop("__text_sha")
+    return split.where("NOT __marked").drop("__marked").unionByName(out.drop("__text_sha"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
